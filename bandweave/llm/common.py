@@ -200,3 +200,20 @@ def _star(pairs: DataFrame, keep) -> DataFrame:
         .select(F.greatest("v", "m").alias("hi"), F.least("v", "m").alias("lo"))
         .where("hi != lo")
     )
+
+
+def cut_long(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets with further cuts, at white space where there is some, inside texts of over limit bytes; each part's row."""
+    sizes = np.diff(offsets)
+    if not (sizes > limit).any():
+        return offsets, np.arange(len(sizes))
+    cuts, owners = [int(offsets[0])], []
+    for row, end in enumerate(offsets[1:].tolist()):
+        while end - cuts[-1] > limit:
+            low = cuts[-1] + limit // 2
+            blank = np.flatnonzero(np.isin(data[low : cuts[-1] + limit], (10, 32)))
+            cuts.append(low + int(blank[-1]) + 1 if len(blank) else cuts[-1] + limit)
+            owners.append(row)
+        cuts.append(end)
+        owners.append(row)
+    return np.array(cuts, np.int64), np.array(owners, np.int64)

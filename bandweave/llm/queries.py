@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts, token_files, topk
+from . import pii, token_counts, token_files, topk, toxicity
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,10 +21,23 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_token_files(spark, folder))
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select(
+        "doc_id", (toxicity.remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "offending"
+    )
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -32,7 +45,9 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_files": op4_token_files,
+        "op5_pii_spans": op5_pii_spans,
         "op7_token_counts": op7_token_counts,
+        "op9_toxicity": op9_toxicity,
         "op10_exact_top_k": op10_exact_top_k,
     }
 
