@@ -9,12 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, token_counts, token_files, topk, toxicity
+from . import langid, pii, token_counts, token_files, topk, toxicity
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    found = langid.predict(docs, langid.learn(langid.training_rows(docs)))
+    return found.select("doc_id", (toxicity.remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/bandweave/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE))
@@ -44,6 +50,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op5_pii_spans": op5_pii_spans,
         "op7_token_counts": op7_token_counts,
