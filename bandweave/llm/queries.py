@@ -9,12 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, token_counts, token_files, topk, toxicity
+from . import langid, pii, simhash, token_counts, token_files, topk, toxicity
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     found = langid.predict(docs, langid.learn(langid.training_rows(docs)))
@@ -50,6 +54,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op5_pii_spans": op5_pii_spans,
