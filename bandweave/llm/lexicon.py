@@ -17,8 +17,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces kept before the memo starts anew: bounds a worker's memory.
-MEMO = 400_000
+#: Chunks, and pieces, kept before their memo starts anew: bounds a worker's memory.
+MEMO = 700_000
 
 #: Characters that lower-case one to one, that NFC leaves alone and whose classes all Unicode versions share.
 _COMMON = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")

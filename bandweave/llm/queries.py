@@ -28,7 +28,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/bandweave/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE))
-    return token_files.digests(token_files.read_token_files(spark, folder))
+    return token_files.read_token_files(spark, folder, digest=True)
 
 
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def _counts(column: str):
     )
 
 
-def _unpack(dictionary: bytes, sha: str):
+def _unpack(dictionary: bytes, sha: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = _decompressor(dictionary)
         for b in batches:
@@ -170,19 +170,23 @@ def _unpack(dictionary: bytes, sha: str):
                 start, cols = row["base"] + row["before"], ([], [], [], [])
                 for i, a, z in zip(ids, offsets, offsets[1:], strict=False):
                     raw = np.frombuffer(expand.decompress(row["frames"][a:z]), f"<u{row['width']}").astype("<u4")
-                    values = (i if i != np.iinfo(np.int64).min else None, start, len(raw), raw.tobytes())
+                    last = crc32(raw) if digest else raw.tobytes()
+                    values = (i if i != np.iinfo(np.int64).min else None, start, len(raw), last)
                     for c, v in zip(cols, values, strict=True):
                         c.append(v)
                     start += len(raw)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary())
                 arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids"])
+                names = ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
+def read_token_files(
+    spark: SparkSession, folder: str, doc_ids: list[int] | None = None, digest: bool = False
+) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, or their ids_crc32 for digest.
 
     With doc_ids, only blocks that can hold them are read; each frame stands alone.
     """
@@ -192,16 +196,12 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None
         low, high = min(doc_ids, default=0), max(doc_ids, default=-1)
         blocks = blocks.where((F.col("first_id") <= high) & (F.col("last_id") >= low))
     out = blocks.mapInArrow(
-        _unpack(bytes(stored.dictionary), stored.sha256), "doc_id bigint, start bigint, n_tokens bigint, ids binary"
+        _unpack(bytes(stored.dictionary), stored.sha256, digest),
+        "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids binary"),
     )
     return out if doc_ids is None else out.where(F.col("doc_id").isin(doc_ids))
 
 
-def digests(read: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of documents read back."""
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
 def one_document(frame: bytes, dictionary: bytes, width: int) -> np.ndarray:
     """Ids of one document from its frame alone."""
     return np.frombuffer(_decompressor(dictionary).decompress(frame), f"<u{width}")
