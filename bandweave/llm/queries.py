@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, simhash, token_counts, token_files, topk, toxicity
+from . import langid, pii, sentencepieces, simhash, token_counts, token_files, topk, toxicity
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = sentencepieces.encode_documents(docs, public_tokenizers.path(PIECE_BPE))
+    return found.select("doc_id", "n_pieces", "ids_crc32", "round_trip", "n_mismatched")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_pii_spans": op5_pii_spans,
         "op7_token_counts": op7_token_counts,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_toxicity": op9_toxicity,
         "op10_exact_top_k": op10_exact_top_k,
     }
