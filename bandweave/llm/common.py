@@ -132,6 +132,14 @@ def word_table() -> np.ndarray:
 LOWER, WORD = lower_table(), word_table()
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capital letters of ASCII and Latin-1 in lower case."""
+    out = LOWER[data]
+    capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[1:][capital] += 32
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the words of consecutive texts; no word crosses texts."""
     if not len(data):
@@ -150,7 +158,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """word_spans() and the hash of each lower-cased word."""
     starts, ends, rows = word_spans(data, offsets)
-    return starts, ends, rows, RollingHash(LOWER[data]).ranges(starts, ends)
+    return starts, ends, rows, RollingHash(folded(data)).ranges(starts, ends)
 
 
 def summed(parts: list[np.ndarray]) -> np.ndarray:
