@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pii, sentencepieces, simhash, token_counts, token_files, topk, toxicity
+from . import decontaminate, langid, pii, sentencepieces, simhash, suffix_dedup, token_counts, token_files, topk, toxicity
 from .common import shared_dir, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op5_pii_spans": op5_pii_spans,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_toxicity": op9_toxicity,
@@ -78,6 +83,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE_SQL = {
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+        w AS (
+            SELECT doc_id, i, substr(h, (2 * i + 1)::BIGINT, 100) AS s
+            FROM n, unnest(range(0, greatest(n_bytes - 49, 0))) t(i)
+        ),
+        m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+        hit AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE w.doc_id > m.low),
+        e AS (
+            SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new
+            FROM hit
+        ),
+        g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+        r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, run),
+        k AS (
+            SELECT doc_id, run, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r
+        ),
+        t AS (
+            SELECT n.doc_id, any_value(n_bytes) AS n_bytes, coalesce(sum(z - a), 0)::BIGINT AS n_removed,
+                   count(run) AS n_spans, any_value(h) AS h, coalesce(max(z), 0) AS last,
+                   coalesce(string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a), '') AS kept
+            FROM n LEFT JOIN k ON n.doc_id = k.doc_id GROUP BY n.doc_id
+        )
+        SELECT doc_id, n_bytes, n_removed, n_spans,
+               sha256(unhex(kept || substr(h, (2 * last + 1)::BIGINT))) AS kept_sha256
+        FROM t
+    """,
     "op10_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
