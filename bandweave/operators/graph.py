@@ -96,7 +96,8 @@ def exposure(origins: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
 def blast_radius(start, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, hop): everything that depends on start over any number of steps; start itself has hop 0."""
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, 0)], nodes.select("component").schema.add("hop", "int"))
+    kind = nodes.schema["component"].dataType.simpleString()
+    seen = spark.createDataFrame([(start, 0)], f"component {kind}, hop int")
     front, hop = seen, 0
     while True:
         hop += 1

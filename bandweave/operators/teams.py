@@ -31,7 +31,8 @@ def smallest_team(qualified: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "team array<string>, n_people int, n_covered bigint, n_high bigint")
     order = F.array(*(F.lit(str(p)) for p in people))
     place = F.array_position(order, F.col("person").cast("string")) - 1
-    bits = qualified.select("capability", "band_code", F.shiftleft(F.lit(1), place.cast("int")).alias("bit"), place.alias("place"))
+    placed = qualified.select("capability", "band_code", place.cast("int").alias("place"))
+    bits = placed.withColumn("bit", F.expr("shiftleft(1, place)"))
     masks = bits.groupBy("capability").agg(
         F.bit_or("bit").alias("mask"), F.coalesce(F.bit_or(F.when(F.col("band_code") == 3, F.col("bit"))), F.lit(0)).alias("high")
     )
@@ -45,10 +46,8 @@ def smallest_team(qualified: DataFrame) -> DataFrame:
         )
         .withColumn("n_people", F.bit_count("team_mask"))
     )
-    members = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(len(people) - 1)), lambda i: F.col("team_mask").bitwiseAND(F.expr("1").cast("int") * F.pow(F.lit(2), i).cast("int")) != 0),
-        lambda i: F.get(order, i),
-    )
+    members = F.expr(f"filter(sequence(0, {len(people) - 1}), i -> (team_mask & shiftleft(1, i)) <> 0)")
+    members = F.transform(members, lambda i: F.get(order, i))
     named = scored.withColumn("team", members)
     return named.orderBy(F.desc("n_covered"), "n_people", F.desc("n_high"), "team").limit(1).select("team", "n_people", "n_covered", "n_high")
 
