@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import components, with_text, written
 
 BITS, RADIUS = 64, 4
-#: Fingerprints expanded at once; more at one prefix are divided.
-EXPANDED = 4096
+#: Fingerprints whose prefixes are made at once, and variants that are sorted at once.
+EXPANDED, SORTED = 4096, 1 << 20
 SEED = 42
 _BLOCK = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -132,17 +132,26 @@ class _Balls:
         """fps (sorted, distinct) agree with a variant's bits above the lowest bits; left: flips that remain to each."""
         if len(fps) < 2:
             return
-        if len(fps) > min(EXPANDED, 1 << (BITS - bits)) and bits > 8:
+        if len(fps) > 1 << (BITS - bits):  # their numbers don't fit beside a variant's bits
             self._divide(fps, left, bits)
             return
+        sizes = np.array([len(self.masks(bits, f)) for f in range(self.radius + 1)])
+        classes = int(sizes[left].sum()) // SORTED + 1
+        for c in range(classes):
+            self._collide(fps, left, bits, c, classes)
+
+    def _collide(self, fps: np.ndarray, left: np.ndarray, bits: int, c: int, classes: int) -> None:
+        """Link fingerprints that share one of the variants of remainder c."""
         low, number = fps & np.uint64((1 << bits) - 1), np.arange(len(fps), dtype=np.uint64)
         shift = np.uint64(max(1, (len(fps) - 1).bit_length()))
         parts = []
         for flips in range(self.radius + 1):
-            mine = left == flips
-            if mine.any():
-                variants = low[mine][:, None] ^ self.masks(bits, flips)[None, :]
-                parts.append(((variants << shift) | number[mine][:, None]).reshape(-1))
+            mine, masks = np.flatnonzero(left == flips), self.masks(bits, flips)
+            step = max(1, SORTED // len(masks))
+            for part in (mine[at : at + step] for at in range(0, len(mine), step)):
+                variants = low[part][:, None] ^ masks[None, :]
+                packed = ((variants << shift) | number[part][:, None]).reshape(-1)
+                parts.append(packed if classes == 1 else packed[(packed >> shift) % np.uint64(classes) == c])
         packed = np.concatenate(parts)
         packed.sort()
         same = np.concatenate(([False], (packed[1:] ^ packed[:-1]) >> shift == 0))
