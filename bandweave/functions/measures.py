@@ -54,8 +54,13 @@ def strength(raw: Column) -> Column:
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), F.lit(DEFAULT_STRENGTH))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half-even on the scaled double. bround() would round the shortest decimal form, which ends in 5 where the double lies beside the tie."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
 def contribution(s: Column, r: Column, recency: Column) -> Column:
-    return F.bround(s * r * recency, 6)
+    return rounded(s * r * recency, 6)
 
 
 def score_band(score: Column) -> Column:

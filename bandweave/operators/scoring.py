@@ -90,11 +90,11 @@ def contributions(matched: DataFrame, reference: Column) -> DataFrame:
 
 def noisy_or(contribution: Column) -> Column:
     """One minus the product of what each contribution leaves, to six places; a product, so that 1 stays 1."""
-    return F.bround(1 - F.product(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), contribution))), 6)
+    return measures.rounded(1 - F.product(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), contribution))), 6)
 
 
 def capped_sum(contribution: Column) -> Column:
-    return F.bround(F.least(F.lit(1.0), F.sum(contribution) * SUM_DAMPING), 6)
+    return measures.rounded(F.least(F.lit(1.0), F.sum(contribution) * SUM_DAMPING), 6)
 
 
 def employee_skills(rows: DataFrame, method: str = "noisy_or") -> DataFrame:
