@@ -130,7 +130,7 @@ def _resolve(qids: np.ndarray, q: np.ndarray, cutoff: np.ndarray, k: int):
             at, j, scores = at[keep], j[keep], scores[keep]
             order = np.argsort(j, kind="stable")
             found, first = np.unique(j[order], return_index=True)
-            for query, rows in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            for query, rows in zip(found.tolist(), np.split(order, first)[1:], strict=True):
                 best.add(query, ids[at[rows]], scores[rows])
         yield best.batch(qids)
 
