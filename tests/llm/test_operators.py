@@ -375,7 +375,7 @@ def test_word_bound_never_drops_a_subsequence():
         codes[vocabulary[np.minimum(codes, len(vocabulary) - 1)] != text] = len(vocabulary)
         low = rng.integers(0, 100, 20)
         high = np.minimum(120, low + rng.integers(1, 40, 20))
-        kept = set(decontaminate._may_hold(item, codes, np.searchsorted(vocabulary, words), low, high).tolist())
+        kept = set(decontaminate._Places(codes, len(vocabulary)).may_hold(item, np.searchsorted(vocabulary, words), low, high).tolist())
         for i, (a, z) in enumerate(zip(low, high, strict=True)):
             if decontaminate.common_subsequence(item.words, text[a:z].tolist()) >= decontaminate.PARAPHRASED * len(words):
                 assert i in kept
