@@ -89,8 +89,9 @@ def contributions(matched: DataFrame, reference: Column) -> DataFrame:
 
 
 def noisy_or(contribution: Column) -> Column:
-    """One minus the product of what each contribution leaves, to six places; a product, so that 1 stays 1."""
-    return measures.rounded(1 - F.product(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), contribution))), 6)
+    """One minus the product of what each contribution leaves, to six places; a product, so that 1 stays 1. Nulls add nothing."""
+    held = F.when(contribution.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), contribution)))
+    return measures.rounded(1 - F.coalesce(F.product(1 - held), F.lit(1.0)), 6)
 
 
 def capped_sum(contribution: Column) -> Column:
