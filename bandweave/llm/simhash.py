@@ -34,6 +34,8 @@ BITS, RADIUS = 64, 4
 #: Fingerprints whose prefixes are made at once, and variants that are sorted at once.
 EXPANDED, SORTED = 4096, 1 << 20
 SEED = 42
+#: Fingerprints before it, besides the first, that one is paired with where many share a variant.
+PREDECESSORS = 3
 _BLOCK = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -60,6 +62,19 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles that fingerprint() counts, repeats included."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    low, high, digest = np.concatenate(([0], ends[:-1] + 1)).tolist(), ends[shingle - 1 :].tolist(), xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:z], SEED) for a, z in zip(low, high, strict=False)], np.uint64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer; null texts count as empty."""
 
@@ -106,13 +121,13 @@ def _emit_prefixes(radius: int, prefix: int):
 class _Balls:
     """Expands the fingerprints at a prefix and links those that collide."""
 
-    def __init__(self, radius: int):
-        self.radius, self.root = radius, {}
+    def __init__(self, radius: int, width: int = BITS):
+        self.radius, self.root, self.spare = radius, {}, BITS - width
         self._cache: dict[tuple[int, int], np.ndarray] = {}
 
     def masks(self, bits: int, flips: int) -> np.ndarray:
         if (bits, flips) not in self._cache:
-            self._cache[bits, flips] = _masks(bits, flips)
+            self._cache[bits, flips] = _masks(bits - self.spare, flips) << np.uint64(self.spare)
         return self._cache[bits, flips]
 
     def _find(self, a: int) -> int:
@@ -157,10 +172,14 @@ class _Balls:
         same = np.concatenate(([False], (packed[1:] ^ packed[:-1]) >> shift == 0))
         if same.any():
             owner = (packed & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-            pairs = np.unique(owner[first[same]] * len(fps) + owner[same])
+            pairs = np.unique(self._partners(owner, same, len(fps)))
             self._verify(fps[pairs // len(fps)], fps[pairs % len(fps)])
 
+    def _partners(self, owner: np.ndarray, same: np.ndarray, n: int) -> np.ndarray:
+        """Pairs, as a * n + b, of the first of each run of equal variants with the others."""
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        return owner[first[same]] * n + owner[same]
+
     def _divide(self, fps: np.ndarray, left: np.ndarray, bits: int) -> None:
         """Go on at each value of the next eight bits."""
         bits -= 8
@@ -176,9 +195,34 @@ class _Balls:
             self.link(x, y)
 
 
-def _collide(radius: int, bits: int):
+class _Pairs(_Balls):
+    """Keeps the pairs that collide: each of a variant's fingerprints with the first and with its PREDECESSORS."""
+
+    def __init__(self, radius: int, width: int):
+        super().__init__(radius, width)
+        self.found: list[np.ndarray] = []
+
+    def _partners(self, owner: np.ndarray, same: np.ndarray, n: int) -> np.ndarray:
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        out = [owner[first[same]] * n + owner[same]]
+        for back in range(1, PREDECESSORS + 1):
+            later = np.flatnonzero(np.arange(len(first)) - first >= back)
+            out.append(owner[later - back] * n + owner[later])
+        return np.concatenate(out)
+
+    def _verify(self, a: np.ndarray, b: np.ndarray) -> None:
+        near = np.bitwise_count(a ^ b) <= 2 * self.radius
+        self.found.append(np.stack((a[near], b[near]), axis=1))
+
+    def pairs(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros((0, 2), np.uint64), *self.found]), axis=0)
+
+
+def _collide(radius: int, bits: int, width: int | None = None):
+    """Links of the components, or with a width the pairs themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        balls, open_prefix, held = _Balls(radius), None, []
+        balls, open_prefix, held = _Pairs(radius, width) if width else _Balls(radius), None, []
 
         def close() -> None:
             if held:
@@ -196,8 +240,11 @@ def _collide(radius: int, bits: int):
                     open_prefix, held = p, []
                 held.append(part)
         close()
-        found = [(x, r) for x in balls.root if (r := balls._find(x)) != x]
-        both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        if width:
+            both = balls.pairs().view(np.int64)
+        else:
+            found = [(x, r) for x in balls.root if (r := balls._find(x)) != x]
+            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     return run
@@ -212,6 +259,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_collide(half, bits), "a bigint, b bigint").distinct()
 
 
+def near_pairs(fps: DataFrame, radius: int, width: int) -> DataFrame:
+    """(a, b) of fingerprints in the first width bits: those within radius bits of each other, by way of few partners where many meet."""
+    half = radius // 2
+    bits = prefix_bits(fps.count(), half)
+    dealt = fps.select("fp").distinct().mapInArrow(_emit_prefixes(half, bits), "prefix bigint, fp bigint")
+    dealt = dealt.repartition("prefix").sortWithinPartitions("prefix")
+    return dealt.mapInArrow(_collide(half, bits, width), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
