@@ -3,7 +3,9 @@
 A document is a bag of sentences. Each sentence has a logistic score of its
 words; a leaky noisy-or combines them, so that a document is toxic if any
 sentence is, or by a constant chance that stands for labels that no sentence
-explains and that doesn't grow with the number of sentences. Only documents have
+explains and that doesn't grow with the number of sentences. What the bias alone
+gives a sentence is taken off again when documents are scored, or a long clean
+text would become toxic by its length. Only documents have
 labels: their likelihood trains the sentences' weights, which then point out the
 offending sentences.
 """
@@ -37,6 +39,10 @@ class Model:
     bias: float
     leak: float
 
+    def risen(self, p: np.ndarray) -> np.ndarray:
+        """Logarithms of what sentences leave clear beyond the bias alone: zero without telling words, whatever the length."""
+        return np.minimum(0.0, np.log1p(-p) - np.log1p(-_sigmoid(np.array(self.bias))))
+
     def sentences(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Probabilities of sentences given as starts in an array of word buckets."""
         if not len(starts):
@@ -178,7 +184,7 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
                 part = cuts[a : z + 1]
                 words, starts, rows, low, high = sentence_words(data[part[0] : part[-1]], part - part[0])
                 p = np.minimum(known.sentences(words, starts), 1 - 1e-9)
-                np.add.at(clear, owners[a + rows], np.log1p(-p))
+                np.add.at(clear, owners[a + rows], known.risen(p))
                 for s in np.flatnonzero(p >= THRESHOLD).tolist():
                     row = owners[a + rows[s]]
                     base = part[0] - offsets[row]
