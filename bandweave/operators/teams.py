@@ -1,8 +1,9 @@
 """Smallest teams that cover a set of targets.
 
 People and targets are dimensions: the matrix of who qualifies is aggregated by
-Spark to one bit mask a person, and subsets of the people who qualify for
-anything are enumerated and ranked as rows. MOST_PEOPLE bounds the enumeration.
+Spark to one bit mask a person, and teams of growing size are searched on the
+driver over all people who qualify for anything. Whoever is contained in another
+is pruned, so no number of people is the most.
 """
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_PEOPLE = 20
-
 
 def qualifications(bands: DataFrame, threshold: int) -> DataFrame:
     """(person, capability, qualified, band_code) of the full grid given."""
@@ -23,33 +22,69 @@ def smallest_team(qualified: DataFrame) -> DataFrame:
 
     qualified has person, capability, band_code, one row for each pair that qualifies.
     """
-    people = [r.person for r in qualified.select("person").distinct().orderBy("person").limit(MOST_PEOPLE + 1).collect()]
-    if len(people) > MOST_PEOPLE:
-        raise ValueError(f"more than {MOST_PEOPLE} candidates: narrow the targets")
-    spark = qualified.sparkSession
-    if not people:
-        return spark.createDataFrame([], "team array<string>, n_people int, n_covered bigint, n_high bigint")
-    order = F.array(*(F.lit(str(p)) for p in people))
-    place = F.array_position(order, F.col("person").cast("string")) - 1
-    placed = qualified.select("capability", "band_code", place.cast("int").alias("place"))
-    bits = placed.withColumn("bit", F.expr("shiftleft(1, place)"))
-    masks = bits.groupBy("capability").agg(
-        F.bit_or("bit").alias("mask"), F.coalesce(F.bit_or(F.when(F.col("band_code") == 3, F.col("bit"))), F.lit(0)).alias("high")
-    )
-    teams = spark.range(1, 1 << len(people)).select(F.col("id").cast("int").alias("team_mask"))
-    scored = (
-        teams.crossJoin(F.broadcast(masks))
-        .groupBy("team_mask")
-        .agg(
-            F.count_if(F.col("team_mask").bitwiseAND(F.col("mask")) != 0).alias("n_covered"),
-            F.count_if(F.col("team_mask").bitwiseAND(F.col("high")) != 0).alias("n_high"),
-        )
-        .withColumn("n_people", F.bit_count("team_mask"))
-    )
-    members = F.expr(f"filter(sequence(0, {len(people) - 1}), i -> (team_mask & shiftleft(1, i)) <> 0)")
-    members = F.transform(members, lambda i: F.get(order, i))
-    named = scored.withColumn("team", members)
-    return named.orderBy(F.desc("n_covered"), "n_people", F.desc("n_high"), "team").limit(1).select("team", "n_people", "n_covered", "n_high")
+    spark, columns = qualified.sparkSession, "team array<string>, n_people int, n_covered bigint, n_high bigint"
+    rows = qualified.groupBy("person", "capability").agg(F.max(F.col("band_code") == 3).alias("high")).collect()
+    if not rows:
+        return spark.createDataFrame([], columns)
+    places = {c: i for i, c in enumerate(sorted({r.capability for r in rows}))}
+    masks: dict = {}
+    for r in rows:
+        cover, high = masks.get(r.person, (0, 0))
+        bit = 1 << places[r.capability]
+        masks[r.person] = (cover | bit, high | bit if r.high else high)
+    people = sorted(masks)
+    team, high = _search([str(p) for p in people], [masks[p] for p in people], (1 << len(places)) - 1)
+    return spark.createDataFrame([(team, len(team), len(places), high)], columns)
+
+
+def _maximal(masks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Distinct (cover, high) without those that another's both contain."""
+    kinds = set(masks)
+    return [m for m in kinds if not any(o != m and m[0] & ~o[0] == 0 and m[1] & ~o[1] == 0 for o in kinds)]
+
+
+def _best_high(masks: list[tuple[int, int]], size: int, cover: int, high: int, full: int, least: int = 0) -> int:
+    """Most targets held in the highest band by size more people that complete cover; -1 if none do or none reach least."""
+    best, seen = least - 1, set()
+    most = max((m[0].bit_count() for m in masks), default=0)
+    every = 0
+    for m in masks:
+        every |= m[1]
+
+    def go(cover: int, high: int, left: int) -> None:
+        nonlocal best
+        missing = full & ~cover
+        if not missing and (not left or high | every == high):
+            best = max(best, high.bit_count())
+            return
+        if not left or missing.bit_count() > left * most or (high | every).bit_count() <= best or (cover, high, left) in seen:
+            return
+        seen.add((cover, high, left))
+        choices = masks
+        if missing:
+            bits = [b for b in range(full.bit_length()) if missing >> b & 1]
+            choices = min(([m for m in masks if m[0] >> b & 1] for b in bits), key=len)
+        for m in choices:
+            go(cover | m[0], high | m[1], left - 1)
+
+    go(cover, high, size)
+    return best if best >= least else -1
+
+
+def _search(names: list[str], masks: list[tuple[int, int]], full: int) -> tuple[list[str], int]:
+    """Teams of growing size, people whom another contains pruned; then, of the best, the first by name, person by person."""
+    covers, size = _maximal([(m[0], 0) for m in masks]), 1
+    while _best_high(covers, size, 0, 0, full) < 0:
+        size += 1
+    wanted = _best_high(_maximal(masks), size, 0, 0, full)
+    team, cover, high, start = [], 0, 0, 0
+    for left in range(size - 1, -1, -1):
+        for i in sorted(range(start, len(names)), key=lambda i: names[i]):
+            c, h = cover | masks[i][0], high | masks[i][1]
+            if _best_high(_maximal(masks[i + 1 :]), left, c, h, full, wanted) == wanted:
+                team, cover, high, start = [*team, names[i]], c, h, i + 1
+                break
+    return team, wanted
 
 
 def greedy_team(qualified: DataFrame) -> list:

@@ -244,21 +244,15 @@ def joi12(spark, d):
     return found.select("item_id", "node_id", F.bround("similarity", 6).alias("similarity"))
 
 
-def _few(spark, d):
-    """The first twelve people's bands of the first eight capabilities."""
-    caps = [f"Brand#{i}" for i in range(1, 9)]
-    return _bands(spark, d).where((F.col("person") < 12) & F.col("capability").isin(caps))
-
-
 @plan("opt01_smallest_team")
 def opt01(spark, d):
-    found = teams.smallest_team(_few(spark, d).where("band_code >= 2"))
+    found = teams.smallest_team(_bands(spark, d).where("band_code >= 2"))
     return found.select(F.array_join("team", ",").alias("team"), "n_people", "n_covered", "n_high")
 
 
 @plan("opt04_greedy_team")
 def opt04(spark, d):
-    team = teams.greedy_team(_few(spark, d).where("band_code >= 2"))
+    team = teams.greedy_team(_bands(spark, d).where("band_code >= 2"))
     return spark.createDataFrame([(i, p) for i, p in enumerate(team)], "pick int, person bigint")
 
 
