@@ -78,6 +78,8 @@ def _emit(parts: int):
             for a, z in pieces(offsets, PART_BYTES // 2):
                 cut = offsets[a : z + 1] - offsets[a]
                 places, grams, around = anchors(data[offsets[a] : offsets[z]], cut)
+                if not len(places):
+                    continue
                 row = np.searchsorted(cut, places, side="right") - 1
                 part = (grams % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -88,12 +90,11 @@ def _emit(parts: int):
                     docs = np.stack((ids[a:z][rows], cut[rows + 1] - cut[rows], count))
                     pos = (places[mine] - cut[row[mine]]).astype("<u4")
                     out.append((p, docs.astype("<i8").tobytes(), grams[mine].tobytes(), around[mine].tobytes(), pos.tobytes()))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                        names=["part", "docs", "grams", "around", "pos"],
-                    )
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
+                    names=["part", "docs", "grams", "around", "pos"],
+                )
 
     return run
 
