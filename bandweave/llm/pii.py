@@ -93,7 +93,7 @@ class _Parsers:
         self.last_digit = at
         if at >= self.ends["ip"] and (m := _IP.match(self.text, at)):
             self.ends["ip"] = m.end()
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m.groups())):
                 self.spans["ip"].append(m.span())
         if at >= self.ends["card"] and (m := _CARD.match(self.text, at)):
             self.ends["card"] = m.end()
@@ -181,8 +181,11 @@ def redact(text: str, spans: dict[str, list[tuple[int, int]]] | None = None) ->
 def pii_spans(docs: DataFrame) -> DataFrame:
     """A row for each document: counts of the base kinds, the base spans' digest, and all spans.
 
-    Null and empty texts have no spans (the digest of nothing); repeated rows and
-    null ids stay; an empty table gives an empty result.
+    Null and empty texts have no spans (the digest of nothing); texts of any
+    length, with runs of digits or letters of any length, are searched whole in
+    linear time; of spans of one kind that overlap the leftmost stands; repeated
+    rows and null ids stay; further columns don't matter; an empty table gives
+    an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +206,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def redact_column(text):
-    """Column expression: the text with personal data replaced; null stays null."""
+    """Column expression: the text with personal data replaced; null stays null and empty text empty."""
 
     @F.pandas_udf("string")
     def redacted(texts):
