@@ -17,8 +17,11 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks, and pieces, kept before their memo starts anew: bounds a worker's memory.
-MEMO = 700_000
+from .transducer import SPLIT, STEPS, byte_characters
+
+#: Bytes, about, that the chunks, and the pieces, may take before their memo starts anew; of which one for each key; and
+#: the longest key that is remembered.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 80 << 20, 150, 1000
 
 #: Characters that lower-case one to one, that NFC leaves alone and whose classes all Unicode versions share.
 _COMMON = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
@@ -26,25 +29,21 @@ _COMMON = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+"
 )
-_KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
-def _byte_characters() -> list[str]:
-    """The printable character that byte-level models use for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class _Memo(dict):
     def __init__(self, compute):
         super().__init__()
-        self._compute = compute
+        self._compute, self._size = compute, 0
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        self[key] = value = self._compute(key)
+        value = self._compute(key)
+        if len(key) <= LONGEST:
+            self._size += ENTRY_BYTES + len(key) + len(value)
+            if self._size > MEMO_BYTES:
+                self.clear()
+                self._size = 0
+            self[key] = value
         return value
 
 
@@ -63,10 +62,10 @@ class Lexicon:
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         patterns = [p["pattern"]["Regex"] for p in splits if p["type"] == "Split"]
         #: Only a tokenizer of just these steps may be memoised; others are encoded whole.
-        self.words = steps == ["NFC", "Replace", "Lowercase"] and patterns == [_KNOWN_SPLIT]
+        self.words = steps == STEPS and patterns == [SPLIT]
         self._marks = tuple(t["content"] for t in spec.get("added_tokens", []))
         self._model = self.tokenizer.model
-        chars = _byte_characters()
+        chars = byte_characters()
         self._mapped = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(256)}
         self._pieces = _Memo(self._piece)
         self._chunks = _Memo(self._chunk)
@@ -94,10 +93,6 @@ class Lexicon:
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(self.serialised(text), self.dtype).tolist()
 
-    def counts(self, chunks: list[str]) -> list[int]:
-        """Tokens of each chunk without blanks and line ends."""
-        return [len(self._chunks[c]) // self.dtype.itemsize for c in chunks]
-
 
 @functools.lru_cache(maxsize=4)
 def lexicon(path: str) -> Lexicon:

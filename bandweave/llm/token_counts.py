@@ -1,17 +1,15 @@
 """Token counts by a finite-state transducer run over chunks of text in parallel.
 
-A task compiles the distinct chunks of its texts (what stands between blanks and
-line ends, where the tokenizer always splits) into a deterministic transducer: a
-trie of bytes whose transition on a boundary emits the number of tokens of the
-chunk just ended, as the tokenizers library gives it, and leads back to the
-start. The bytes of all texts are then cut into lanes of LANE bytes and every
-lane takes one transition at a time, all lanes at once.
-
-A lane is a map from the state in which it is entered to the state in which it
-is left, with the tokens emitted. Behind its first boundary that map is
-constant, so all lanes run at once from the start state; a prefix scan composes
-the maps, which gives each lane's true entry state; and only the bytes before
-the first boundary run again from there.
+The bytes of a batch's texts, one behind the other, are cut into chunks of CHUNK
+bytes wherever they fall, and all chunks take one transition at a time.
+
+A chunk is a map from the state in which it is entered to the state in which it
+is left, with the tokens emitted. Behind its first blank that map is the same for
+every entry; a first pass in which chunks are dead up to there gives that part of
+all of them. A prefix scan then composes the maps: a chunk behind one with a
+blank knows its entry at once, and where chunks without a blank follow each other
+(a word of over CHUNK bytes) entries are handed on, one chunk of every such run a
+round. From its entry each chunk takes the transitions up to its first blank.
 """
 
 from __future__ import annotations
@@ -23,127 +21,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_buffers, with_text
-from .lexicon import Lexicon, lexicon
-
-LANE = 256
-#: Bytes of text that one transducer is compiled for.
-COMPILED_BYTES = 1 << 19
-#: Longer chunks would make the transducer large for one use each: the library counts them directly.
-LONGEST = 40
-_SPACE, _NEWLINE = 32, 10
-
-
-class Transducer:
-    """States are numbers; state 0 is the start, and class 0 the boundary."""
-
-    def __init__(self, chunks: list[str], counts: list[int]):
-        data = np.frombuffer("\n".join(chunks).encode() + b"\n", np.uint8)
-        ends = np.flatnonzero(data == _NEWLINE)
-        lens = np.diff(ends, prepend=-1) - 1
-        width = int(lens.max(initial=1))
-        rows = np.zeros((len(chunks), width), np.uint8)
-        rows[np.arange(width)[None, :] < lens[:, None]] = data[data != _NEWLINE]
-        used = np.zeros(256, bool)
-        used[data] = True
-        used[[_SPACE, _NEWLINE]] = False
-        self.classes = np.zeros(256, np.uint8)
-        self.classes[used] = np.arange(1, int(used.sum()) + 1)
-        kinds, states = int(used.sum()) + 1, 1
-        at = np.zeros(len(chunks), np.int64)
-        edges = []
-        for depth in range(width):
-            live = np.flatnonzero(lens > depth)
-            keys, which = np.unique(at[live] * kinds + self.classes[rows[live, depth]], return_inverse=True)
-            edges.append((keys, states))
-            at[live] = states + which
-            states += len(keys)
-        #: next[state * kinds + class]; a boundary always leads to the start.
-        self.next = np.zeros(states * kinds, np.int32)
-        for keys, first in edges:
-            self.next[keys] = np.arange(first, first + len(keys), dtype=np.int32)
-        self.next *= kinds  # states are kept as offsets of their rows
-        self.emits = np.zeros(states, np.int32)
-        self.emits[at] = counts
-        self.kinds = kinds
-
-    def run(self, lanes: np.ndarray, state: np.ndarray, stop: np.ndarray, emitted: np.ndarray) -> np.ndarray:
-        """Take the transitions of lanes (classes, one lane a column) up to row stop of each; returns the states."""
-        state = state.copy()
-        for i in range(lanes.shape[0]):
-            live = stop > i
-            if not live.any():
-                break
-            row = lanes[i]
-            ends = live & (row == 0)
-            emitted[i, ends] = self.emits[state[ends] // self.kinds]
-            state = np.where(live, self.next[state + row], state)
-        return state
-
-    def emissions(self, data: np.ndarray) -> np.ndarray:
-        """Tokens emitted at each byte of data, which ends with a boundary."""
-        n = -(-len(data) // LANE)
-        padded = np.zeros(n * LANE, np.uint8)  # class 0 behind the end
-        padded[: len(data)] = self.classes[data]
-        lanes = np.ascontiguousarray(padded.reshape(n, LANE).T)
-        emitted = np.zeros((LANE, n), np.int32)
-        whole = np.full(n, LANE)
-        left = self.run(lanes, np.zeros(n, np.int64), whole, emitted)
-        bounded = (lanes == 0).any(axis=0)
-        head = np.where(bounded, (lanes == 0).argmax(axis=0) + 1, LANE)
-        # Scan: a lane with a boundary is a constant map; the others pass their entry state on through their bytes.
-        entry = np.concatenate(([0], left[:-1]))
-        for k in np.flatnonzero(~bounded[:-1]):
-            one = np.zeros((LANE, 1), np.int32)
-            entry[k + 1] = self.run(lanes[:, k : k + 1], entry[k : k + 1], whole[:1], one)[0]
-        late = np.flatnonzero(entry)
-        again = np.zeros((LANE, len(late)), np.int32)
-        self.run(lanes[:, late], entry[late], head[late], again)
-        rows = np.arange(LANE)[:, None] < head[late][None, :]
-        emitted[:, late] = np.where(rows, again, emitted[:, late])
-        return emitted.T.reshape(-1)[: len(data)]
-
-
-def count_tokens(texts: list[str], words: Lexicon) -> np.ndarray:
+from .common import folded, text_buffers, with_text
+from .transducer import DEAD, Full, Transducer, transducer
+
+CHUNK = 256
+#: Bytes of text that run at a time; fewer where the table is too small for them.
+RUN_BYTES, LEAST_BYTES = 1 << 20, 4096
+
+
+def _take(machine: Transducer, chunks: np.ndarray, state: np.ndarray, stop: np.ndarray, emitted: np.ndarray) -> np.ndarray:
+    """Take the transitions of chunks (bytes, a chunk a column) up to row stop of each; emitted gets the changes."""
+    state = state.copy()
+    order = np.argsort(-stop, kind="stable")
+    live = len(order)
+    for i in range(int(stop.max(initial=0))):
+        while live and stop[order[live - 1]] <= i:
+            live -= 1
+        if live == len(order):
+            state, emitted[i] = machine.follow(state, chunks[i])
+        else:
+            mine = order[:live]
+            state[mine], emitted[i, mine] = machine.follow(state[mine], chunks[i, mine])
+    return state
+
+
+def emissions(machine: Transducer, data: np.ndarray, entered: tuple) -> tuple[np.ndarray, tuple]:
+    """The change of the token count at each byte of data, and the state behind it."""
+    n = -(-len(data) // CHUNK)
+    size = np.full(n, CHUNK)
+    size[-1] = len(data) - CHUNK * (n - 1)
+    chunks = np.zeros(n * CHUNK, np.int64)
+    chunks[: len(data)] = data
+    chunks = np.ascontiguousarray(chunks.reshape(n, CHUNK).T)
+    blank = np.zeros(n * CHUNK, bool)
+    blank[: len(data)] = (data == 32) | (data == 10) | (data == 9) | (data == 13)
+    blank = blank.reshape(n, CHUNK)
+    constant = blank.any(axis=1)
+    head = np.where(constant, blank.argmax(axis=1) + 1, size)
+    emitted = np.zeros((CHUNK, n), np.int8)
+    left = _take(machine, chunks, np.full(n, DEAD), size, emitted)
+    wave = np.flatnonzero(np.concatenate(([True], constant[:-1])))
+    entries = np.concatenate(([machine.number(entered)], left[:-1]))
+    while len(wave):
+        again = np.zeros((CHUNK, len(wave)), np.int8)
+        after = _take(machine, chunks[:, wave], entries[wave], head[wave], again)
+        emitted[:, wave] += again  # a dead chunk has emitted nothing
+        on = wave[~constant[wave]]
+        left[on] = after[~constant[wave]]
+        wave = on[on + 1 < n] + 1
+        entries[wave] = left[wave - 1]
+    return emitted.T.reshape(-1)[: len(data)], machine.state(int(left[-1]))
+
+
+def _runs(machine: Transducer, data: np.ndarray) -> np.ndarray:
+    """emissions() of all of data, in runs that hand on their last state."""
+    out, at, state, size = [], 0, ("start", None), RUN_BYTES
+    while at < len(data):
+        try:
+            part, state = emissions(machine, data[at : at + size], state)
+        except Full:
+            machine.clear()
+            size = max(LEAST_BYTES, size // 2)
+            continue
+        out.append(part)
+        at += size
+        size = min(RUN_BYTES, size * 2)
+    return np.concatenate(out) if out else np.zeros(0, np.int8)
+
+
+def count_tokens(texts: list[str], machine: Transducer) -> np.ndarray:
     """Tokens of each text."""
-    if not words.words:  # a tokenizer that may merge across blanks
-        return np.array([len(words.ids(t)) for t in texts], np.int64)
-    extra = np.zeros(len(texts), np.int64)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    distinct = set().union(*split)
-    distinct.discard("")
-    if max(map(len, distinct), default=0) > LONGEST:
-        long = {c for c in distinct if len(c) > LONGEST}
-        distinct -= long
-        for i, chunks in enumerate(split):
-            if not long.isdisjoint(chunks):
-                extra[i] = sum(words.counts([c for c in chunks if c in long]))
-                texts = [*texts[:i], " ".join(c for c in chunks if c not in long), *texts[i + 1 :]]
-    if not distinct:
-        return extra
-    chunks = list(distinct)
-    machine = Transducer(chunks, words.counts(chunks))
-    raw = [t.encode() for t in texts]
-    emitted = machine.emissions(np.frombuffer(b" ".join(raw) + b" ", np.uint8))
-    starts = np.cumsum([0, *(len(r) + 1 for r in raw[:-1])])
-    return extra + np.add.reduceat(emitted, starts, dtype=np.int64)
+    if not machine.compiled:
+        return np.array([len(e.ids) for e in machine.library.encode_batch(texts, add_special_tokens=False)], np.int64)
+    raw = [machine.readable(t) for t in texts]
+    starts = np.cumsum([0, *(len(r) + 1 for r in raw)])[:-1]
+    data = folded(np.frombuffer(b" ".join(raw) + b" ", np.uint8))
+    if not len(texts):
+        return np.zeros(0, np.int64)
+    return np.add.reduceat(_runs(machine, data), starts, dtype=np.int64)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row; null texts are empty, repeated rows stay."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row.
+
+    Null texts are empty and have no tokens, as have texts of white space; texts
+    and words of any length are counted whole, in bounded memory; null ids and
+    repeated rows stay; further columns don't matter; an empty table gives an
+    empty result. Tokenizers of other steps than the transducer knows are
+    counted by the library.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = lexicon(path)
+        machine = transducer(path)
         for b in batches:
             _, offsets = text_buffers(b.column("text"))
-            for a, z in pieces(offsets, COMPILED_BYTES):
-                part = b.slice(a, z - a)
-                tokens = count_tokens(part.column("text").to_pylist(), words)
-                n = np.diff(offsets[a : z + 1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(tokens), pa.array(tokens > limit)],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
+            tokens = count_tokens(b.column("text").to_pylist(), machine)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+            )
 
     docs = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id")
     return docs.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
