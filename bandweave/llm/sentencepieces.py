@@ -5,10 +5,13 @@ the library's Unigram with the same scores; a BPE model becomes its BPE, whose
 merges are all splits of a piece into two pieces, best score first. The
 normaliser, the metaspace mark, byte fallback and the decoder are rebuilt.
 
-No piece has the mark or a line end behind another character, so nothing merges
-across the place before such a run: texts are cut there, and each distinct chunk
-is encoded once, in multithreaded batches, and compared with what the
-sentencepiece library gives for it. A model of other pieces is encoded whole.
+The rebuilt normaliser takes whole texts. No piece has the mark or a line end
+behind another character, so nothing merges across the place before such a run:
+normalised texts are cut there, and each distinct chunk is encoded once, in
+multithreaded batches, and compared with what the sentencepiece library gives for
+it. A model of other pieces is encoded whole. Ids of documents are decoded by
+joining their pieces' bytes, which the tests hold against the rebuilt decoder and
+the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from .common import pieces, text_buffers
 
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-#: Chunks kept before the memo starts anew.
-MEMO = 600_000
+#: Bytes, about, that are remembered before the memo starts anew; of which one for each chunk; and the longest such chunk.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 110 << 20, 160, 1000
 BATCH_BYTES = 1 << 20
 
 
@@ -103,6 +106,7 @@ class Codec:
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         #: Ids by chunk, and the chunks that the libraries disagree on.
         self._memo: dict[str, bytes] = {}
+        self._size = 0
         self._wrong: set[str] = set()
         self._plain = build(model)
         self._plain.normalizer = normalizers.Sequence([])
@@ -117,20 +121,26 @@ class Codec:
         found = self.native.encode(texts, num_threads=1)
         return [f if b else f[self._lead :] for b, f in zip(bare, found, strict=True)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self._memo.keys())
-        if not new:
-            return
-        if len(self._memo) + len(new) > MEMO:
-            self._memo.clear()
-            self._wrong.clear()
-            new = list(chunks)
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not remembered yet."""
         ids = [e.ids for e in self._plain.encode_batch_fast(new, add_special_tokens=False)]
         native = self._native_chunks(new)
         if ids != native:
             self._wrong.update(c for c, a, b in zip(new, ids, native, strict=True) if a != b)
         code = self._code
-        self._memo.update(zip(new, [array(code, i).tobytes() for i in ids], strict=True))
+        return dict(zip(new, [array(code, i).tobytes() for i in ids], strict=True))
+
+    def _trim(self, new: dict[str, bytes]) -> None:
+        """Keep what is remembered within bounds, after new has been added to it."""
+        for chunk, ids in new.items():
+            if len(chunk) > LONGEST:
+                del self._memo[chunk]
+            else:
+                self._size += ENTRY_BYTES + len(chunk) + len(ids)
+        if self._size > MEMO_BYTES:
+            self._memo.clear()
+            self._wrong.clear()
+            self._size = 0
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
         """Ids of each text, and how many of its chunks the libraries disagree on."""
@@ -138,10 +148,13 @@ class Codec:
             ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             wrong = [int(a != b) for a, b in zip(ids, self.native.encode(texts, num_threads=1), strict=True)]
             return [np.array(i, self.dtype) for i in ids], wrong
-        split = [_CHUNKS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self._learn(set().union(*split))
-        found = [b"".join(map(self._memo.__getitem__, chunks)) for chunks in split]
+        normal, memo = self.tokenizer.normalizer.normalize_str, self._memo
+        split = [_CHUNKS.findall(normal(t)) for t in texts]
+        new = self._learn(list({c for chunks in split for c in chunks if c not in memo}))
+        memo.update(new)
+        found = [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
         wrong = [sum(c in self._wrong for c in chunks) if self._wrong else 0 for chunks in split]
+        self._trim(new)
         return [np.frombuffer(f, self.dtype) for f in found], wrong
 
     def _bytes(self, piece) -> bytes:
@@ -167,7 +180,9 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     ids_crc32 that of the same as unsigned 32-bit integers. round_trip tells
     whether decoding gives the text again; a text that itself has the mark reads
     back with blanks, and where the model normalises, round_trip may be false.
-    Null texts are encoded as empty: no ids. Columns of docs named like the new ones are replaced.
+    Null and empty texts have no ids and come back as empty; texts of any length
+    are encoded whole; repeated rows and null ids stay; an empty table gives an
+    empty result. Columns of docs named like the new ones are replaced.
     """
     new = "n_pieces bigint, ids_crc32 bigint, round_trip boolean, n_mismatched bigint, piece_ids binary"
     names = [c.split()[0] for c in new.split(", ")]
