@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut_long, pieces, text_buffers, with_text, word_hashes
 
 BUCKETS = 1 << 18
-#: The classifier is fitted on a uniform sample of about so many labelled documents, chosen by a hash of the id.
+#: The classifier is fitted on a uniform sample of so many labelled documents at most, those of the smallest hashes of ids.
 SAMPLE_DOCS = 8000
 #: Words have a weight if their documents' labels differ from the others' by so much (chi-squared, one degree).
 LEAST_CHI2 = 16.0
@@ -43,11 +43,9 @@ class Model:
         """Logarithms of what sentences leave clear beyond the bias alone: zero without telling words, whatever the length."""
         return np.minimum(0.0, np.log1p(-p) - np.log1p(-_sigmoid(np.array(self.bias))))
 
-    def sentences(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Probabilities of sentences given as starts in an array of word buckets."""
-        if not len(starts):
-            return np.zeros(0)
-        return _sigmoid(np.add.reduceat(self.weights[words], starts, dtype=np.float64) + self.bias)
+    def sums(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Summed weights of sentences given as starts in an array of word buckets."""
+        return np.add.reduceat(self.weights[words], starts, dtype=np.float64)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -67,41 +65,64 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, .
     return (hashes % np.uint64(BUCKETS)).astype(np.int64), starts, rows[starts], at[starts], ends[last]
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+    """sentence_words() of slices of texts, with rows and byte places in the whole; and whether the first goes on a sentence.
+
+    A long text comes in several slices; a sentence across a cut is one.
+    """
+    cuts, owners = cut_long(data, offsets)
+    before, end = -1, 0
+    for a, z in pieces(cuts):
+        part = cuts[a : z + 1]
+        words, starts, rows, low, high = sentence_words(data[part[0] : part[-1]], part - part[0])
+        if len(starts):
+            rows, low, high = owners[a + rows], low + part[0], high + part[0]
+            yield words, starts, rows, low, high, rows[0] == before and not _STOPS[data[end : low[0]]].any()
+            before, end = rows[-1], high[-1]
+
+
 def _bags(docs: DataFrame, label: str) -> DataFrame:
     """(label, words, starts): buckets and sentence starts of each document as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            for a, z in pieces(offsets):
-                cut = offsets[a : z + 1]
-                words, starts, rows, _, _ = sentence_words(data[cut[0] : cut[-1]], cut - cut[0])
-                out = []
-                for i in range(z - a):
-                    mine = starts[rows == i]
-                    first = mine[0] if len(mine) else 0
-                    later = starts[starts > mine[-1]] if len(mine) else starts[:0]
-                    end = (len(words) if not len(later) else later[0]) if len(mine) else first
-                    out.append((words[first:end].astype("<i4").tobytes(), (mine - first).astype("<i4").tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(label).slice(a, z - a).cast(pa.int32()),
-                        pa.array([w for w, _ in out], pa.binary()),
-                        pa.array([s for _, s in out], pa.binary()),
-                    ],
-                    names=["label", "words", "starts"],
-                )
+            words, starts, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            size, first = 0, np.zeros(b.num_rows + 1, np.int64)  # words before each document
+            for found, at, row, _, _, goes_on in _parts(data, offsets):
+                words.append(found)
+                starts.append(size + at[int(goes_on) :])
+                rows.append(row[int(goes_on) :])
+                np.add.at(first, row + 1, np.diff(np.append(at, len(found))))
+                size += len(found)
+            flat, at, row = np.concatenate(words), np.concatenate(starts), np.concatenate(rows)
+            first = np.cumsum(first)
+            cut = np.searchsorted(row, np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(label).cast(pa.int32()),
+                    pa.array([flat[x:y].astype("<i4").tobytes() for x, y in zip(first, first[1:], strict=False)], pa.binary()),
+                    pa.array([(at[cut[i] : cut[i + 1]] - first[i]).astype("<i4").tobytes() for i in range(b.num_rows)], pa.binary()),
+                ],
+                names=["label", "words", "starts"],
+            )
 
     return docs.mapInArrow(run, "label int, words binary, starts binary")
 
 
 def fit(labelled: DataFrame, label: str = "toxic") -> Model:
-    """Fit on a bounded sample of documents (doc_id, text, label); without both labels the leak alone is left."""
-    labelled = with_text(labelled.where(F.col(label).isNotNull()), "doc_id", label)
-    n, parts = labelled.count(), 1_000_000
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * share) + 1)
-    rows = _bags(sample.limit(2 * SAMPLE_DOCS), label).toPandas().drop_duplicates("words")
+    """Fit on documents (doc_id, text, label): on the SAMPLE_DOCS of them whose ids have the smallest hashes.
+
+    Rows of a null label or id are not learnt from. Documents of the same words
+    count once, with the larger label, and are taken in one order, so a table
+    always gives the same model. Null and empty texts are bags without sentences.
+    Without both labels the leak alone is left.
+    """
+    labelled = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    labelled = with_text(labelled.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id", label)
+    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = _bags(labelled.join(F.broadcast(ids), "doc_id", "left_semi"), label).toPandas()
+    rows = rows.sort_values(["words", "starts", "label"], ascending=[True, True, False]).drop_duplicates("words")
     y = (rows["label"].to_numpy(dtype=np.int64) > 0).astype(float)
     model = Model(np.zeros(BUCKETS, np.float32), -7.0, float(np.clip(y.mean() if len(y) else 0.01, 1e-3, 0.2)))
     if not len(y) or y.min() == y.max():
@@ -170,7 +191,10 @@ def _descend(model: Model, words: list, starts: list, y: np.ndarray, known: np.n
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns keep, then score, predicted and offending: UTF-8 byte ranges of sentences that reach THRESHOLD.
 
-    Every row gets a score, empty and null texts the leak's; repeated rows stay.
+    Every row gets a score, empty and null texts the leak's. Texts of any length
+    are scored whole, sentences that lie across a slice's end too (only a word of
+    over half a MiB is cut). Repeated rows and null ids stay; further columns
+    don't matter; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))
 
@@ -179,16 +203,21 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             clear, bad = np.full(b.num_rows, np.log1p(-known.leak)), [[] for _ in range(b.num_rows)]
-            cuts, owners = cut_long(data, offsets)
-            for a, z in pieces(cuts):
-                part = cuts[a : z + 1]
-                words, starts, rows, low, high = sentence_words(data[part[0] : part[-1]], part - part[0])
-                p = np.minimum(known.sentences(words, starts), 1 - 1e-9)
-                np.add.at(clear, owners[a + rows], known.risen(p))
-                for s in np.flatnonzero(p >= THRESHOLD).tolist():
-                    row = owners[a + rows[s]]
-                    base = part[0] - offsets[row]
-                    bad[row].append(f"{low[s] + base}:{high[s] + base}")
+            held = [np.zeros((4, 0))]  # row, start, end and summed weights of the sentences
+            for words, starts, rows, low, high, goes_on in _parts(data, offsets):
+                part = np.stack((rows, low, high, known.sums(words, starts)))
+                if goes_on:
+                    held[-1][3, -1] += part[3, 0]
+                    held[-1][2, -1] = part[2, 0]
+                    part = part[:, 1:]
+                if part.shape[1]:
+                    held.append(part)
+            rows, low, high = (x.astype(np.int64) for x in np.concatenate(held, axis=1)[:3])
+            p = np.minimum(_sigmoid(np.concatenate(held, axis=1)[3] + known.bias), 1 - 1e-9)
+            np.add.at(clear, rows, known.risen(p))
+            for s in np.flatnonzero(p >= THRESHOLD).tolist():
+                base = offsets[rows[s]]
+                bad[rows[s]].append(f"{low[s] - base}:{high[s] - base}")
             score = np.clip(-np.expm1(clear), 0, 1)
             yield pa.RecordBatch.from_arrays(
                 [
