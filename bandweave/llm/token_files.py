@@ -33,7 +33,7 @@ from .lexicon import lexicon
 END = 1
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 LEVEL = 3
-#: The dictionary is fitted on about so many documents, of so many bytes at most; it affects sizes only.
+#: The dictionary is fitted on so many documents at most, and so many bytes of each; it affects sizes only.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 65536
 
 _BLOCK = (
@@ -48,28 +48,26 @@ def _serialised(text: str, path: str) -> bytes:
 
 
 def _sampled(docs: DataFrame, path: str) -> list[bytes]:
-    """Serialised ids of a bounded sample of documents, chosen by a hash of the id."""
-    n = docs.count()
-    if not n:
-        return []
-    parts = 1_000_000
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * min(1.0, SAMPLE_DOCS / n)) + 1)
+    """Serialised ids of the SAMPLE_DOCS documents whose ids have the smallest hashes, in that order."""
+    order = F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")
+    picked = docs.select("doc_id", "text", order[0].alias("hash")).orderBy("hash", *order[1:]).limit(SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [_serialised(t, path)[:SAMPLE_BYTES] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(out, pa.binary())], names=["hash", "ids"])
 
-    return [r.ids for r in picked.limit(2 * SAMPLE_DOCS).mapInArrow(run, "ids binary").collect()]
+    found = picked.mapInArrow(run, "hash bigint, ids binary")
+    return [bytes(r.ids) for r in sorted(found.collect(), key=lambda r: (r.hash, bytes(r.ids)))]
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """Dictionary bytes; empty (frames then need none) where there is too little to train on."""
+    """Dictionary bytes; the samples themselves where they are too few for the trainer."""
     samples = _sampled(docs, path)
-    if len(samples) < 64 or sum(map(len, samples)) < 10 * 1024:
-        return b""
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
-    return zstandard.train_dictionary(size, samples).as_bytes()
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
+    except (ValueError, zstandard.ZstdError):
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
