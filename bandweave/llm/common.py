@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     context = spark.sparkContext
+    if not context.master.startswith("local") and not context._jsc.sc().getCheckpointDir().isDefined():
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="bandweave-"))
     return context._jsc.sc().getCheckpointDir().get()

@@ -236,7 +236,7 @@ def test_base_spans_match_the_expressions(which, request):
     df = request.getfixturevalue(which)
     wanted = []
     for i, t in texts_of(df):
-        spans = slow_spans(t if len(t) < 100_000 else t[:10])
+        spans = slow_spans(t)
         listed = ",".join(f"{k}:{a}:{z}" for k in BASE for a, z in spans[k])
         wanted.append((i, *(len(spans[k]) for k in BASE), hashlib.sha256(listed.encode()).hexdigest()))
     got = [tuple(r)[:6] for r in pii.pii_spans(df).collect()]
@@ -302,16 +302,16 @@ def test_pieces_match_the_model(which, request):
     for r in sentencepieces.encode_documents(df.select("doc_id", "text"), PIECES).collect():
         ids = np.frombuffer(r.piece_ids, "<u2").tolist()
         assert ids == model.encode(r.text or ""), r.doc_id
-        assert (r.n_pieces, r.n_mismatched) == (len(ids), 0) or r.n_mismatched
+        assert (r.n_pieces, r.n_mismatched) == (len(ids), 0)
 
 
 # Toxicity
 
 
 def auc(scores, labels):
-    order = np.argsort(np.argsort(scores, kind="stable"))
-    ones = labels > 0
-    return (order[ones].mean() - (ones.sum() - 1) / 2) / max(1, (~ones).sum())
+    """Share of pairs in the right order; equal scores count half, so the order of rows doesn't matter."""
+    high, low = scores[labels > 0][:, None], scores[labels == 0][None, :]
+    return (high > low).mean() + (high == low).mean() / 2
 
 
 def test_toxicity_of_held_out_documents(spark):
