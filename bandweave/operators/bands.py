@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import AUTHOR_ROLES, COVERAGE_THRESHOLD, FRESH_MONTHS, HIGH, LOW, MODERATE, ROLE_CEILINGS
 from ..functions import dates, measures
+from . import similarity
 
 
 def role_ceilings(spark) -> DataFrame:
@@ -21,17 +22,18 @@ def _caps(caps: dict[str, Column]) -> Column:
 
 
 def ceilings(edges: DataFrame, as_of: Column, p90: Column, p98: Column, p10: Column) -> DataFrame:
-    """Adds ceiling and binding_cap to edges (source, role, occurred_at, unit, capability, certainty, effort).
+    """Adds ceiling, binding_cap and unit_at to edges (source, role, occurred_at, unit, capability, certainty, effort).
 
-    A role that isn't listed has the lowest cap; no effort signal is no cap.
+    An edge is as old as its work unit, whose time is that of its latest item. A
+    role that isn't listed has the lowest cap; no effort signal is no cap.
     """
-    breadth = edges.groupBy("unit").agg(F.countDistinct("capability").alias("_breadth"))
+    breadth = edges.groupBy("unit").agg(F.countDistinct("capability").alias("_breadth"), F.max("occurred_at").alias("unit_at"))
     known = role_ceilings(edges.sparkSession).select("source", "role", "role_cap")
     wide = F.when(F.col("_breadth") > p98, LOW).when(F.col("_breadth") > p90, MODERATE).otherwise(HIGH)
     found = _caps(
         {
             "role": F.coalesce("role_cap", F.lit(0)),
-            "age": dates.age_cap(F.col("occurred_at"), as_of),
+            "age": dates.age_cap(F.col("unit_at"), as_of),
             "breadth": wide,
             "certainty": HIGH - measures.certainty_rank(F.col("certainty")),
             "substance": F.when(F.col("effort") < p10, LOW).otherwise(HIGH),
@@ -51,7 +53,7 @@ def assign(edges: DataFrame, as_of: Column) -> DataFrame:
 
     A person with more than one fresh authored unit and more than all others
     together is in the highest band. edges has item_id, person, capability, unit,
-    role, occurred_at, ceiling.
+    role, unit_at, ceiling.
     """
     unit = edges.groupBy("person", "capability", "unit").agg(
         F.max(F.struct("ceiling", (-F.col("item_id")).alias("tie"))).alias("best")
@@ -60,7 +62,7 @@ def assign(edges: DataFrame, as_of: Column) -> DataFrame:
         F.max(F.struct("best.ceiling", "best.tie", "unit")).alias("top")
     )
     fresh = edges.where(
-        F.col("role").isin(*AUTHOR_ROLES) & (dates.months(F.col("occurred_at"), as_of) <= FRESH_MONTHS)
+        F.col("role").isin(*AUTHOR_ROLES) & (dates.months(F.col("unit_at"), as_of) <= FRESH_MONTHS)
     )
     mine = fresh.groupBy("capability", "person").agg(F.countDistinct("unit").alias("mine"))
     others = F.sum("mine").over(Window.partitionBy("capability")) - F.col("mine")
@@ -82,15 +84,15 @@ def grid(people: DataFrame, capabilities: DataFrame, bands: DataFrame) -> DataFr
 
 
 def coverage(bands: DataFrame, threshold: int = COVERAGE_THRESHOLD) -> DataFrame:
-    """Capability: coverers, best band and its first holder by name."""
+    """Capability: coverers, best band and its first holder by name; one pass over the bands."""
     covers = F.col("band_code") >= threshold
-    top = bands.groupBy("capability").agg(
+    top = F.min(F.struct((-F.col("band_code")).alias("worst"), "person"))
+    return bands.groupBy("capability").agg(
         F.count_if(covers).alias("n_coverers"),
         F.array_sort(F.collect_list(F.when(covers, F.col("person")))).alias("coverers"),
         F.max("band_code").alias("best_band"),
+        F.when(F.max("band_code") > 0, top["person"]).alias("best_holder"),
     )
-    first = bands.join(top.select("capability", "best_band"), "capability").where("band_code = best_band AND band_code > 0")
-    return top.join(first.groupBy("capability").agg(F.min("person").alias("best_holder")), "capability", "left")
 
 
 def at_risk(covered: DataFrame) -> DataFrame:
@@ -115,9 +117,81 @@ def absence(bands: DataFrame, person, threshold: int = COVERAGE_THRESHOLD) -> Da
     return out.withColumn("status", state)
 
 
+def unit_times(edges: DataFrame) -> DataFrame:
+    """(unit, unit_at): the time of a unit's latest item."""
+    return edges.groupBy("unit").agg(F.max("occurred_at").alias("unit_at"))
+
+
 def activity(edges: DataFrame, as_of: Column, thin: int) -> DataFrame:
     """Capability: whether any unit is fresh, and whether it has fewer units than thin."""
-    return edges.groupBy("capability").agg(
-        F.bool_or(dates.months(F.col("occurred_at"), as_of) <= FRESH_MONTHS).alias("active"),
-        (F.countDistinct("unit") < thin).alias("is_thin"),
+    units = edges.select("capability", "unit").distinct().join(unit_times(edges), "unit")
+    return units.groupBy("capability").agg(
+        F.bool_or(dates.months(F.col("unit_at"), as_of) <= FRESH_MONTHS).alias("active"),
+        (F.count("*") < thin).alias("is_thin"),
     )
+
+
+def calibration(edges: DataFrame) -> DataFrame:
+    """One row: the latest day, and nearest ranks of effort, of capabilities a unit and of units a capability."""
+    effort = similarity.nearest_ranks(edges.where("effort > 0"), (), "effort", p10_effort=0.10)
+    wide = edges.groupBy("unit").agg(F.countDistinct("capability").alias("n"))
+    breadth = similarity.nearest_ranks(wide, (), "n", p90_breadth=0.90, p98_breadth=0.98)
+    deep = edges.groupBy("capability").agg(F.countDistinct("unit").alias("n"))
+    density = similarity.nearest_ranks(deep, (), "n", p25_units=0.25)
+    last = edges.agg(F.max("occurred_at").alias("as_of"))
+    for row in (effort, breadth, density):  # of one row each
+        last = last.crossJoin(F.broadcast(row))
+    return last
+
+
+def holders(bands: DataFrame, departed: Column) -> DataFrame:
+    """Those with any band in a capability, the departed apart, in order of band and name."""
+    held = bands.where("band_code > 0").withColumn("departed", departed)
+    w = Window.partitionBy("capability", "departed").orderBy(F.desc("band_code"), "person")
+    return held.withColumn("place", F.row_number().over(w)).select("capability", "person", "band_code", "departed", "place")
+
+
+def sole_coverers(covered: DataFrame) -> DataFrame:
+    """(person, capability) where nobody else covers."""
+    return covered.where("n_coverers = 1").select(F.col("coverers")[0].alias("person"), "capability")
+
+
+def overview(bands: DataFrame, edges: DataFrame, as_of: Column, thin: int, threshold: int = COVERAGE_THRESHOLD) -> DataFrame:
+    """Each capability's coverage, activity and density, and its state in words."""
+    out = coverage(bands, threshold).join(activity(edges, as_of, thin), "capability")
+    state = F.when(F.col("n_coverers") == 0, "uncovered").when(F.col("n_coverers") == 1, "single").otherwise("covered")
+    shown = F.concat_ws(", ", state, F.when(~F.col("active"), "dormant"), F.when(F.col("is_thin"), "thin"))
+    return out.withColumn("state", shown)
+
+
+def risk_headline(covered: DataFrame) -> DataFrame:
+    """One sentence on capabilities without a coverer and with one."""
+    n = covered.agg(F.count_if(F.col("n_coverers") == 0).alias("none"), F.count_if(F.col("n_coverers") == 1).alias("one"), F.count("*").alias("all"))
+    text = F.format_string("%d uncovered and %d with a single coverer of %d capabilities", "none", "one", "all")
+    return n.select(text.alias("headline"))
+
+
+def departure_targets(bands: DataFrame, person, threshold: int = COVERAGE_THRESHOLD) -> DataFrame:
+    """What a person covers."""
+    return bands.where((F.col("person") == F.lit(person)) & (F.col("band_code") >= threshold)).select("capability")
+
+
+def candidate_matrix(bands: DataFrame, people: DataFrame, targets: DataFrame, leaving, threshold: int = COVERAGE_THRESHOLD) -> DataFrame:
+    """Everybody who stays by every target: the band, none without evidence, and whether it qualifies."""
+    stay = people.where(F.col("person") != F.lit(leaving))
+    return grid(stay, targets, bands.select("person", "capability", "band_code")).withColumn("qualified", F.col("band_code") >= threshold)
+
+
+def rationales(bands: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(person, rationale): what each person takes over, with the band held, in order of the capability."""
+    names = F.element_at(F.array(*map(F.lit, ("NONE", "LOW", "MODERATE", "HIGH"))), F.col("band_code") + 1)
+    lines = assigned.join(bands, ["person", "capability"]).select("person", F.struct("capability", F.concat_ws(" at ", "capability", names).alias("line")).alias("one"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda o: o["line"]), "; ")
+    return lines.groupBy("person").agg(listed.alias("rationale"))
+
+
+def why_open(closest: DataFrame) -> DataFrame:
+    """(capability, why): a sentence on the nearest candidate of a capability that nobody covers."""
+    names = F.element_at(F.array(*map(F.lit, ("NONE", "LOW", "MODERATE", "HIGH"))), F.col("band_code") + 1)
+    text = F.format_string("Nobody covers %s; closest is %s at %s", F.col("capability"), F.col("person").cast("string"), names)
+    return closest.select("capability", text.alias("why"))

@@ -26,7 +26,7 @@ def postings(sections: DataFrame) -> DataFrame:
 
 def corpus_statistics(posted: DataFrame) -> DataFrame:
     """One row: number of sections with tokens, and their average length."""
-    sizes = posted.select("section_id", "length").distinct()
+    sizes = posted.groupBy("section_id").agg(F.first("length").alias("length"))
     return sizes.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
 
 
@@ -66,7 +66,8 @@ def search(posted: DataFrame, query: DataFrame) -> DataFrame:
 
 def mass_floor(weighted: DataFrame) -> DataFrame:
     """(query_id, floor): median term mass over the query's whole mass."""
-    return weighted.groupBy("query_id").agg((F.median("mass") / F.sum("mass")).alias("floor"))
+    total = F.sum("mass")
+    return weighted.groupBy("query_id").agg(F.when(total > 0, F.median("mass") / total).otherwise(0.0).alias("floor"))
 
 
 def natural_break(rows: DataFrame, group: str, score: str, *ties, ratio: float = BREAK_RATIO) -> DataFrame:
@@ -90,10 +91,11 @@ def keyword_hits(posted: DataFrame, query: DataFrame) -> DataFrame:
 
 def separation(scored: DataFrame, group: str, score: str) -> DataFrame:
     """(group, separation): best over runner-up; infinite for a single or non-positive runner-up."""
-    top = scored.groupBy(group).agg(F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 2).alias("_top"))
-    second = F.get("_top", 1)
-    ratio = F.when(second > 0, F.get("_top", 0) / second).otherwise(F.lit(float("inf")))
-    return top.select(group, ratio.alias("separation"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score)))
+    top = scored.select(group, score, place.alias("_place")).where("_place <= 2").groupBy(group)
+    two = top.agg(F.max(score).alias("_best"), F.max(F.when(F.col("_place") == 2, F.col(score))).alias("_second"))
+    ratio = F.when(F.col("_second") > 0, F.col("_best") / F.col("_second")).otherwise(F.lit(float("inf")))
+    return two.select(group, ratio.alias("separation"))
 
 
 def mined_terms(passages: DataFrame, group: str, body: str, top: int = TOP_TERMS) -> DataFrame:

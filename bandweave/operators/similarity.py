@@ -87,11 +87,19 @@ def work_units(items: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """Aggregate: the value of rank round(q * (n - 1)), half to even, of all sorted values; 1.0 without any."""
-    ranked = F.sort_array(F.collect_list(value))
-    at = F.bround(F.lit(q) * (F.size(ranked) - 1), 0).cast("int") + 1
-    return F.coalesce(F.when(F.size(ranked) > 0, F.get(ranked, at - 1)).cast("double"), F.lit(1.0))
+def nearest_ranks(rows: DataFrame, keys: tuple[str, ...], value: str, **quantiles: float) -> DataFrame:
+    """Of each group, for each name the value of rank round(q * (n - 1)), half to even, among all sorted values.
+
+    Equal values are counted before anything is sorted, so a group's size doesn't
+    matter, only the number of its distinct values. Null values don't count; a
+    table without any gives 1.0 where there are no keys.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    until, n = F.sum("_k").over(group.orderBy(value)), F.sum("_k").over(group)
+    placed = counted.withColumn("_until", until).withColumn("_n", n)
+    at = lambda q: F.min(F.when(F.col("_until") > F.bround(F.lit(q) * (F.col("_n") - 1), 0), F.col(value))).cast("double")
+    return placed.groupBy(*keys).agg(*(F.coalesce(at(q), F.lit(1.0)).alias(name) for name, q in quantiles.items()))
 
 
 def best_match(items: DataFrame, summaries: DataFrame, floor: float = 0.25) -> DataFrame:

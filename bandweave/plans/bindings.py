@@ -51,34 +51,36 @@ SCORES = f"""{EVIDENCE},
 BAND = "CASE WHEN {0} >= 0.75 THEN 'HIGH' WHEN {0} >= 0.45 THEN 'MODERATE' WHEN {0} >= 0.2 THEN 'LOW' ELSE 'NONE' END"
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as items, orders as work units, return flags as certainty."""
-    parts = read(spark, d, "part").select("p_partkey", "p_brand")
+def edges(spark: SparkSession, d: str, capability: str = "p_brand") -> DataFrame:
+    """Line items as items, orders as work units, return flags as certainty; brands, or another column, as capabilities."""
+    parts = read(spark, d, "part").select("p_partkey", capability) if capability != "p_partkey" else read(spark, d, "part").select("p_partkey")
     certainty = F.when(F.col("l_returnflag") == "A", "certain").when(F.col("l_returnflag") == "N", "probable").otherwise("tentative")
     role = F.when(F.col("l_linestatus") == "F", "author").when(F.col("l_linenumber") < 3, "pr_author").otherwise("reviewer_approval")
     return read(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.col("l_suppkey").alias("person"),
-        F.col("p_brand").alias("capability"), F.col("l_orderkey").alias("unit"), F.lit("github").alias("source"),
+        F.col(capability).alias("capability"), F.col("l_orderkey").alias("unit"), F.lit("github").alias("source"),
         role.alias("role"), certainty.alias("certainty"), F.col("l_shipdate").cast("date").alias("occurred_at"),
         F.nullif("l_quantity", F.lit(1.0)).alias("effort"),
     )
 
 
-EDGES = """
+def edges_sql(p90="5", p98="7", p10="5", capability="p_brand", before="") -> str:
+    """The same edges, units, ceilings and bands in SQL."""
+    return f"""
     e AS (
-        SELECT l_orderkey * 10 + l_linenumber AS item_id, l_suppkey AS person, p_brand AS capability, l_orderkey AS unit,
+        SELECT l_orderkey * 10 + l_linenumber AS item_id, l_suppkey AS person, {capability} AS capability, l_orderkey AS unit,
                CASE WHEN l_linestatus = 'F' THEN 'author' WHEN l_linenumber < 3 THEN 'pr_author' ELSE 'reviewer_approval' END AS role,
                CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END AS certainty_cap,
                CAST(l_shipdate AS DATE) AS occurred_at, nullif(l_quantity, 1) AS effort
         FROM lineitem JOIN part ON l_partkey = p_partkey
     ),
-    br AS (SELECT unit, count(DISTINCT capability) AS breadth FROM e GROUP BY unit),
+    br AS (SELECT unit, count(DISTINCT capability) AS breadth, max(occurred_at) AS unit_at FROM e GROUP BY unit),{before}
     caps AS (
-        SELECT e.*, CASE role WHEN 'reviewer_approval' THEN 1 ELSE 2 END AS role_cap,
-               CASE WHEN date_diff('day', occurred_at, DATE '2001-11-05') / 30.44 <= 12 THEN 3
-                    WHEN date_diff('day', occurred_at, DATE '2001-11-05') / 30.44 <= 24 THEN 2 ELSE 1 END AS age_cap,
-               CASE WHEN breadth > 7 THEN 1 WHEN breadth > 5 THEN 2 ELSE 3 END AS breadth_cap,
-               CASE WHEN effort < 5 THEN 1 ELSE 3 END AS substance_cap
+        SELECT e.*, unit_at, CASE role WHEN 'reviewer_approval' THEN 1 ELSE 2 END AS role_cap,
+               CASE WHEN date_diff('day', unit_at, DATE '2001-11-05') / 30.44 <= 12 THEN 3
+                    WHEN date_diff('day', unit_at, DATE '2001-11-05') / 30.44 <= 24 THEN 2 ELSE 1 END AS age_cap,
+               CASE WHEN breadth > {p98} THEN 1 WHEN breadth > {p90} THEN 2 ELSE 3 END AS breadth_cap,
+               CASE WHEN effort < {p10} THEN 1 ELSE 3 END AS substance_cap
         FROM e JOIN br USING (unit)
     ),
     cl AS (SELECT *, least(role_cap, age_cap, breadth_cap, certainty_cap, substance_cap) AS ceiling FROM caps),
@@ -86,7 +88,7 @@ EDGES = """
     best AS (SELECT person, capability, max(c) AS c FROM u GROUP BY person, capability),
     fresh AS (
         SELECT capability, person, count(DISTINCT unit) AS mine FROM cl
-        WHERE role IN ('author', 'pr_author') AND date_diff('day', occurred_at, DATE '2001-11-05') / 30.44 <= 12
+        WHERE role IN ('author', 'pr_author') AND date_diff('day', unit_at, DATE '2001-11-05') / 30.44 <= 12
         GROUP BY capability, person
     ),
     dom AS (
@@ -101,6 +103,9 @@ EDGES = """
 """
 
 
+EDGES = edges_sql()
+
+
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Nations as components: nation n depends on (7 n + 3) mod 25 and n / 2."""
     n = F.col("n_nationkey")

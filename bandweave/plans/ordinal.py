@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bands, graph, similarity, teams
-from .bindings import DEPENDENCIES, EDGES, LINE_DAY, TOKENS, day, dependencies, edges, signatures
+from .bindings import DEPENDENCIES, EDGES, LINE_DAY, TOKENS, day, dependencies, edges, edges_sql, signatures
 from .registry import plan, read
 
 
@@ -31,9 +31,11 @@ def agg07(spark, d):
     return _bands(spark, d).select("person", "capability", "band_code")
 
 
-@plan("agg08_dominance", f"WITH {EDGES} SELECT person, capability FROM dom")
+@plan("agg08_dominance", f"WITH {edges_sql(capability='p_partkey')} SELECT person, capability FROM dom")
 def agg08(spark, d):
-    return _bands(spark, d).where("dominant").select("person", "capability")
+    """Single parts as capabilities: of these some people have more fresh authored units than all others together."""
+    found = bands.ceilings(edges(spark, d, "p_partkey"), day(LINE_DAY), F.lit(5), F.lit(7), F.lit(5.0))
+    return bands.assign(found, day(LINE_DAY)).where("dominant").select("person", "capability")
 
 
 @plan("agg09_unit_breadth", "SELECT l_orderkey AS unit, count(DISTINCT p_brand) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
@@ -81,8 +83,8 @@ def qry06(spark, d):
 
 
 @plan("agg12_activity", f"""
-    WITH {EDGES} SELECT capability, bool_or(date_diff('day', occurred_at, DATE '2001-11-05') / 30.44 <= 12) AS active,
-        count(DISTINCT unit) < 300 AS is_thin FROM e GROUP BY capability
+    WITH {EDGES} SELECT capability, bool_or(date_diff('day', unit_at, DATE '2001-11-05') / 30.44 <= 12) AS active,
+        count(DISTINCT unit) < 300 AS is_thin FROM e JOIN br USING (unit) GROUP BY capability
 """)
 def agg12(spark, d):
     return bands.activity(edges(spark, d), day(LINE_DAY), 300)
@@ -95,9 +97,7 @@ def agg12(spark, d):
            max(l_quantity) FILTER (WHERE r = round_even(0.9 * (n - 1), 0) + 1) AS p90 FROM s GROUP BY l_suppkey
 """)
 def agg14(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        similarity.nearest_rank("l_quantity", 0.1).alias("p10"), similarity.nearest_rank("l_quantity", 0.9).alias("p90")
-    )
+    return similarity.nearest_ranks(read(spark, d, "lineitem"), ("l_suppkey",), "l_quantity", p10=0.1, p90=0.9)
 
 
 @plan("gra07_exposure", f"""
