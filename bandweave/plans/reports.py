@@ -174,7 +174,7 @@ def qry18(spark, d):
     WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS item_id, p_brand, string_split(p_type, ' ') AS tokens, CAST(l_shipdate AS DATE) AS shipped,
                       l_returnflag <> 'R' AS eligible FROM lineitem JOIN part ON l_partkey = p_partkey),
     t AS (SELECT DISTINCT unnest(tokens) AS t FROM i WHERE p_brand = 'Brand#12' AND eligible),
-    x AS (SELECT item_id, any_value(shipped) AS shipped FROM (SELECT item_id, shipped, unnest(tokens) AS t FROM i WHERE NOT eligible) JOIN t USING (t) GROUP BY item_id)
+    x AS (SELECT item_id, max(shipped) AS shipped FROM (SELECT item_id, shipped, unnest(tokens) AS t FROM i WHERE NOT eligible) JOIN t USING (t) GROUP BY item_id)
     SELECT item_id, shipped FROM x ORDER BY shipped DESC, item_id LIMIT 25
 """)
 def joi15(spark, d):
@@ -184,7 +184,7 @@ def joi15(spark, d):
         F.explode(F.split("p_type", " ")).alias("token"), (F.col("l_returnflag") != "R").alias("eligible"),
     )
     own = rows.where("p_brand = 'Brand#12' AND eligible").select("token").distinct()
-    shared = rows.where("NOT eligible").join(own, "token", "left_semi").groupBy("item_id").agg(F.first("shipped").alias("shipped"))
+    shared = rows.where("NOT eligible").join(own, "token", "left_semi").groupBy("item_id").agg(F.max("shipped").alias("shipped"))
     return shared.orderBy(F.desc("shipped"), "item_id").limit(25)
 
 
