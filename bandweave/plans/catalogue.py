@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extracting, ordinal, reports, retrieving, scores, texts  # noqa: F401  they register their plans
+from . import discovering, extracting, ordinal, paging, reports, retrieving, scores, texts  # noqa: F401  they register their plans
 from .registry import PLANS
 
 
