@@ -144,16 +144,19 @@ def first_prefix(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     return hit.select("record_id", "m.module_id").distinct()
 
 
-def evidence_records(events: DataFrame, modules: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def evidence_records(events: DataFrame, modules: DataFrame, known: DataFrame | None = None, fallback: str | None = None) -> DataFrame:
     """(evidence_id, employee_id, capability_id, module_id, source, source_ref, score): events by module by capability.
 
-    events has module_id; modules module_id and capability_ids. Records are
-    distinct by their five keys; those already known are left out.
+    events has module_id; modules module_id and capability_ids; a module without
+    any stands for the fallback, if one is given. Records are distinct by their
+    five keys; those already known are left out.
     """
     from ..functions import text
 
     keys = ["employee_id", "capability_id", "module_id", "source", "source_ref"]
-    rows = events.join(modules.select("module_id", F.explode("capability_ids").alias("capability_id")), "module_id")
+    ids = F.col("capability_ids")
+    ids = F.when(F.size(ids) > 0, ids).otherwise(F.array(F.lit(fallback))) if fallback else ids
+    rows = events.join(modules.select("module_id", F.explode(ids).alias("capability_id")), "module_id")
     rows = rows.select(
         "employee_id", "capability_id", "module_id", "source", F.col("source_record_id").alias("source_ref"),
         weight(F.col("provenance_type")).alias("score"), "timestamp",

@@ -15,6 +15,8 @@ def _stored(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
+        if not context.master.startswith("local") and not context._jsc.sc().getCheckpointDir().isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="bandweave-"))
         folder = context._jsc.sc().getCheckpointDir().get()
@@ -58,8 +60,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def closure(nodes: DataFrame, depth: int = 100) -> DataFrame:
     """(ancestor, node, hops): each node below each start, itself included.
 
-    nodes has node, parent and is_start; a path that comes back to its start ends
-    at depth.
+    nodes has node, parent and is_start. It ends when no node has children left; a
+    tree of more levels than depth, or one with a cycle, raises.
     """
     spark, name = nodes.sparkSession, f"tree_{uuid.uuid4().hex}"
     nodes.select("node", "parent", "is_start").createOrReplaceTempView(name)
@@ -67,7 +69,7 @@ def closure(nodes: DataFrame, depth: int = 100) -> DataFrame:
         WITH RECURSIVE t(ancestor, node, hops) MAX RECURSION LEVEL {depth + 1} AS (
             SELECT node, node, 0 FROM {name} WHERE is_start
             UNION ALL
-            SELECT t.ancestor, n.node, t.hops + 1 FROM t JOIN {name} n ON n.parent = t.node WHERE t.hops < {depth}
+            SELECT t.ancestor, n.node, t.hops + 1 FROM t JOIN {name} n ON n.parent = t.node
         )
         SELECT ancestor, node, min(hops) AS hops FROM t GROUP BY ancestor, node
     """)

@@ -169,15 +169,15 @@ def gra09(spark, d):
 
 
 @plan("gra02_work_units", """
-    WITH RECURSIVE k AS (SELECT DISTINCT user_id AS item, regexp_extract(props, '\\d+', 0)::INT // 10 AS key FROM events WHERE event_id % 50 = 0),
-    e AS (SELECT DISTINCT a.item AS a, b.item AS b FROM k a JOIN k b USING (key)),
-    r(n, m) AS (SELECT item, item FROM k UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m)
-    SELECT n AS node, min(m) AS component FROM r GROUP BY n
+    WITH RECURSIVE k AS (SELECT DISTINCT user_id AS item, regexp_extract(props, '\\d+', 0)::INT // 10 AS key FROM events),
+    kk AS (SELECT DISTINCT a.key AS x, b.key AS y FROM k a JOIN k b USING (item)),
+    r(x, y) AS (SELECT x, y FROM kk UNION SELECT r.x, kk.y FROM r JOIN kk ON kk.x = r.y),
+    c AS (SELECT r.x AS key, min(item) AS component FROM r JOIN k ON k.key = r.y GROUP BY 1)
+    SELECT item AS node, min(component) AS component FROM k JOIN c USING (key) GROUP BY item
 """)
 def gra02(spark, d):
-    rows = read(spark, d, "events").where("event_id % 50 = 0")
     key = F.floor(F.regexp_extract("props", r"\d+", 0).cast("int") / 10)
-    items = rows.select(F.col("user_id").alias("item_id"), key.alias("key")).distinct()
+    items = read(spark, d, "events").select(F.col("user_id").alias("item_id"), key.alias("key")).distinct()
     return graph.components(items.select(F.col("item_id").alias("node")), graph.shared_keys(items))
 
 

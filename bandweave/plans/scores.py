@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, measures
 from ..operators import absence, scoring
 from ..sources import sinks
-from .bindings import ABSENT, BAND, EVIDENCE, LINE_DAY, SCORES, day, evidence
+from .bindings import ABSENT, BAND, EVIDENCE, LINE_DAY, SCORES, TOKENS, day, evidence
 from .registry import plan, read
 
 
@@ -205,7 +205,16 @@ def set07(spark, d):
     return sinks.merge_manual(stored, new, "k")
 
 
-@plan("joi03_skill_matches")
+@plan("joi03_skill_matches", f"""
+    WITH b AS (SELECT DISTINCT p_brand FROM part), sk AS (SELECT p_brand AS capability_id, {TOKENS.format("p_brand || ' widget ring bolt gear'")} AS kw FROM b),
+    mo AS (SELECT p_type, list_sort(list(DISTINCT p_brand))[1:2] AS caps FROM part GROUP BY 1),
+    ev AS (SELECT p_partkey AS evidence_id, p_type, list_distinct(list_concat({TOKENS.format('p_name')}, {TOKENS.format('lower(p_brand)')})) AS t FROM part),
+    x AS (SELECT evidence_id, capability_id, list_contains(caps, capability_id) AS st,
+                 CASE WHEN least(len(t), len(kw)) > 0 THEN len(list_intersect(t, kw)) / least(len(t), len(kw)) ELSE 0 END AS o FROM ev JOIN mo USING (p_type) CROSS JOIN sk),
+    m AS (SELECT evidence_id, capability_id, round_even(o, 6) AS overlap, CASE WHEN st THEN round_even(least(1.0, 0.75 + 0.25 * o), 4) ELSE round_even(least(0.6, 1.2 * o), 4) END AS relevance,
+                 CASE WHEN st AND o > 0 THEN 'structural+textual' WHEN st THEN 'structural' ELSE 'textual_only' END AS match_type FROM x WHERE st OR o >= 0.12)
+    SELECT evidence_id, capability_id, overlap, relevance, coalesce(match_type, 'none') AS match_type FROM ev LEFT JOIN m USING (evidence_id)
+""")
 def joi03(spark, d):
     brands = read(spark, d, "part").select(F.col("p_brand").alias("id")).distinct()
     skills = scoring.taxonomy(brands.select("id", F.col("id").alias("name"), F.lit("widget ring bolt gear").alias("description")))

@@ -263,13 +263,15 @@ def set02(spark, d):
 @plan("joi06_evidence_records", """
     SELECT DISTINCT 'U' || user_id AS employee_id, p_brand AS capability_id, event_type AS module_id, 'github' AS source,
         CAST(event_id AS VARCHAR) AS source_ref, 1.0 AS score
-    FROM events JOIN (SELECT DISTINCT p_brand FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')) ON true WHERE event_id % 10 <> 9
+    FROM events JOIN (SELECT DISTINCT p_brand FROM part) ON event_type <> 'error' OR p_brand = 'Brand#1' WHERE event_id % 10 <> 9
 """)
 def joi06(spark, d):
     commits = events.commits(_raw(spark, d)["commits"]).withColumn("module_id", F.col("context.files")[0])
     kinds = read(spark, d, "events").select(F.col("event_type").alias("module_id")).distinct()
-    brands = read(spark, d, "part").where(F.col("p_brand").isin("Brand#1", "Brand#2")).agg(F.collect_set("p_brand").alias("capability_ids"))
-    out = events.evidence_records(commits, kinds.crossJoin(F.broadcast(brands)))
+    brands = read(spark, d, "part").agg(F.collect_set("p_brand").alias("all"))  # one row
+    held = F.when(F.col("module_id") != "error", F.col("all")).otherwise(F.array().cast("array<string>"))
+    modules = kinds.crossJoin(F.broadcast(brands)).select("module_id", held.alias("capability_ids"))
+    out = events.evidence_records(commits, modules, fallback="Brand#1")
     return out.select("employee_id", "capability_id", "module_id", "source", "source_ref", "score")
 
 
