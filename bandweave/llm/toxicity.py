@@ -111,7 +111,7 @@ def _bags(docs: DataFrame, label: str) -> DataFrame:
 
 
 def fit(labelled: DataFrame, label: str = "toxic") -> Model:
-    """Fit on documents (doc_id, text, label): on the SAMPLE_DOCS of them whose ids have the smallest hashes.
+    """Fit on documents (doc_id, text, label): on those whose ids have the SAMPLE_DOCS smallest hashes.
 
     Rows of a null label or id are not learnt from. Documents of the same words
     count once, with the larger label, and are taken in one order, so a table
@@ -120,8 +120,10 @@ def fit(labelled: DataFrame, label: str = "toxic") -> Model:
     """
     labelled = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     labelled = with_text(labelled.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id", label)
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = _bags(labelled.join(F.broadcast(ids), "doc_id", "left_semi"), label).toPandas()
+    order = F.xxhash64("doc_id")
+    hashes = labelled.select(order.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS)
+    last = hashes.agg(F.max("h")).first()[0]  # a number, so that the filter reaches the scan and no other text is moved
+    rows = _bags(labelled.where(order <= F.lit(last)), label).toPandas()
     rows = rows.sort_values(["words", "starts", "label"], ascending=[True, True, False]).drop_duplicates("words")
     y = (rows["label"].to_numpy(dtype=np.int64) > 0).astype(float)
     model = Model(np.zeros(BUCKETS, np.float32), -7.0, float(np.clip(y.mean() if len(y) else 0.01, 1e-3, 0.2)))
