@@ -56,11 +56,13 @@ def agg33(spark, d):
 
 
 @plan("qry10_sole_coverers", f"""
-    WITH {EDGES}, c AS (SELECT capability, count(*) AS n, min(person) AS person FROM bd WHERE band_code = 3 GROUP BY capability)
+    WITH {edges_sql(capability="p_partkey")}, c AS (SELECT capability, count(*) AS n, min(person) AS person FROM bd WHERE band_code >= 2 GROUP BY capability)
     SELECT person, capability FROM c WHERE n = 1
 """)
 def qry10(spark, d):
-    return bands.sole_coverers(bands.coverage(_bands(spark, d), 3))
+    """Single parts as capabilities: many of them have one coverer."""
+    capped = bands.ceilings(edges(spark, d, "p_partkey"), day(LINE_DAY), F.lit(5), F.lit(7), F.lit(5.0))
+    return bands.sole_coverers(bands.coverage(bands.assign(capped, day(LINE_DAY)), 2))
 
 
 @plan("qry05_headline", f"""
