@@ -33,3 +33,46 @@ def report(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame
 
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").format(kind).save(path)
+
+
+def set_value(config: DataFrame, key: str, **columns) -> DataFrame:
+    """config (key and further columns) with one key's row replaced or added; columns not given are null."""
+    spark, names = config.sparkSession, config.columns
+    row = spark.createDataFrame([tuple({"key": key, **columns}.get(n) for n in names)], config.schema)
+    return config.where(F.col("key") != key).unionByName(row)
+
+
+def value(config: DataFrame, key: str):
+    """The value of a key; KeyError without one."""
+    row = config.where(F.col("key") == key).select("value").first()
+    if row is None:
+        raise KeyError(key)
+    return row.value
+
+
+def add_edge(edges: DataFrame, nodes: DataFrame, source, target) -> DataFrame:
+    """edges (source, target) with one more, once; ValueError if it would point at itself, KeyError at an unknown end."""
+    if source == target:
+        raise ValueError(f"{source} cannot depend on itself")
+    known = {r[0] for r in nodes.where(F.col(nodes.columns[0]).isin(source, target)).select(nodes.columns[0]).distinct().collect()}  # two at most
+    for end in (source, target):
+        if end not in known:
+            raise KeyError(end)
+    new = edges.sparkSession.createDataFrame([(source, target)], edges.select("source", "target").schema)
+    return edges.select("source", "target").unionByName(new).distinct()
+
+
+def remove_edge(edges: DataFrame, source, target) -> DataFrame:
+    """edges without one; KeyError if there is none."""
+    gone = (F.col("source") == source) & (F.col("target") == target)
+    if edges.where(gone).isEmpty():
+        raise KeyError(f"{source}->{target}")
+    return edges.where(~gone)
+
+
+def write_all(made: DataFrame, given: DataFrame, path: str) -> None:
+    """Write made as JSON; ValueError, and nothing written, unless it has as many rows as given."""
+    n, expected = made.count(), given.count()
+    if n != expected:
+        raise ValueError(f"{n} rows of {expected}")
+    write(made, path, "json")
