@@ -48,9 +48,13 @@ def _serialised(text: str, path: str) -> bytes:
 
 
 def _sampled(docs: DataFrame, path: str) -> list[bytes]:
-    """Serialised ids of the SAMPLE_DOCS documents whose ids have the smallest hashes, in that order."""
-    order = F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")
-    picked = docs.select("doc_id", "text", order[0].alias("hash")).orderBy("hash", *order[1:]).limit(SAMPLE_DOCS)
+    """Serialised ids of the SAMPLE_DOCS documents that have the smallest hashes, in that order.
+
+    The greatest of those hashes is found first, by hashes alone, so that no texts but the sample's are gathered.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    last = hashed.select("hash").orderBy("hash").limit(SAMPLE_DOCS).agg(F.max("hash")).first()[0]
+    picked = hashed.where(F.col("hash") <= F.lit(last).cast("bigint")).orderBy("hash", "doc_id", "text").limit(SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
