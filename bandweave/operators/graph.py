@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: written to the folder that driver and executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.master.startswith("local") and not context._jsc.sc().getCheckpointDir().isDefined():
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="bandweave-"))
-        folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/bandweave-graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import forget, stored
 
 
 def shared_keys(items: DataFrame, item: str = "item_id", key: str = "key") -> DataFrame:
@@ -39,22 +24,25 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     longest path; it ends when no label changes.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = _stored(both.toDF("a", "b"))
-    labels = _stored(nodes.select("node").distinct().withColumn("label", F.col("node")))
+    both = stored(both.toDF("a", "b"), "graph-edges")
+    labels = stored(nodes.select("node").distinct().withColumn("label", F.col("node")), "graph-labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.node == near.a, "left").select(
             "node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old")
         )
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        new = _stored(
+        new = stored(
             lower.join(jump, F.col("label") == F.col("via"), "left").select(
                 "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"
-            )
+            ),
+            "graph-labels",
         )
+        forget(labels)
         if new.where("label < old").isEmpty():
+            forget(both)
             return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        labels = new
 
 
 def closure(nodes: DataFrame, depth: int = 100) -> DataFrame:
@@ -103,14 +91,16 @@ def blast_radius(start, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     front, hop = seen, 0
     while True:
         hop += 1
-        front = _stored(
+        front = stored(
             edges.join(front.select(F.col("component").alias("_at")), edges.target == F.col("_at"))
             .select(F.col("source").alias("component"))
             .distinct()
             .join(seen, "component", "left_anti")
-            .withColumn("hop", F.lit(hop))
+            .withColumn("hop", F.lit(hop)),
+            "graph-front",
         )
         if front.isEmpty():
+            forget(front)
             return seen
         seen = seen.unionByName(front)
 

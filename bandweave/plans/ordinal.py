@@ -244,18 +244,6 @@ def joi12(spark, d):
     return found.select("item_id", "node_id", F.bround("similarity", 6).alias("similarity"))
 
 
-@plan("opt01_smallest_team")
-def opt01(spark, d):
-    found = teams.smallest_team(_bands(spark, d).where("band_code >= 2"))
-    return found.select(F.array_join("team", ",").alias("team"), "n_people", "n_covered", "n_high")
-
-
-@plan("opt04_greedy_team")
-def opt04(spark, d):
-    team = teams.greedy_team(_bands(spark, d).where("band_code >= 2"))
-    return spark.createDataFrame([(i, p) for i, p in enumerate(team)], "pick int, person bigint")
-
-
 @plan("opt06_qualifications", f"WITH {EDGES} SELECT person, capability, band_code >= 2 AS qualified FROM bd")
 def opt06(spark, d):
     return teams.qualifications(_bands(spark, d), 2).select("person", "capability", "qualified")
