@@ -1,4 +1,4 @@
-"""Retrieval: set-valued BM25 with weighted queries, data-derived cut-offs, vocabularies, page links."""
+"""Retrieval: data-derived cut-offs over searches of the index, vocabularies, page links."""
 
 from __future__ import annotations
 
@@ -15,53 +15,9 @@ from ..config import (
     TOP_HITS,
     TOP_TERMS,
 )
-from ..functions import measures, text
-
-
-def postings(sections: DataFrame) -> DataFrame:
-    """(section_id, term, length): distinct tokens of each section; length is their number."""
-    found = sections.select("section_id", text.tokens(F.col("body")).alias("_t"))
-    return found.select("section_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
-
-
-def corpus_statistics(posted: DataFrame) -> DataFrame:
-    """One row: number of sections with tokens, and their average length."""
-    sizes = posted.groupBy("section_id").agg(F.first("length").alias("length"))
-    return sizes.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-
-
-def term_weights(posted: DataFrame, query: DataFrame) -> DataFrame:
-    """Adds idf and mass (weight times idf) to the query's terms (query_id, term, weight); unknown terms have frequency 0."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_statistics(posted)
-    joined = query.join(df, "term", "left").crossJoin(F.broadcast(stats))
-    idf = measures.bm25_idf(F.col("n").cast("double"), F.coalesce("df", F.lit(0)))
-    return joined.withColumn("idf", idf).withColumn("mass", F.col("weight") * F.col("idf"))
-
-
-def search(posted: DataFrame, query: DataFrame) -> DataFrame:
-    """(query_id, section_id, raw, score, mass, matched_terms) of sections that share a term with a query.
-
-    raw is BM25 to four places; score is raw over the query's best; mass is the
-    matched share of the query's term mass. The statistics are one row; the join
-    is on the term.
-    """
-    weighted = term_weights(posted, query)
-    total = weighted.groupBy("query_id").agg(F.sum("mass").alias("total"))
-    hit = posted.join(weighted, "term")
-    part = measures.bm25_term(F.col("weight"), F.col("idf"), F.lit(1.0), F.col("length"), F.col("average"))
-    scored = hit.groupBy("query_id", "section_id").agg(
-        F.bround(F.sum(part), 4).alias("raw"), F.sum("mass").alias("matched"),
-        F.array_sort(F.collect_set("term")).alias("matched_terms"),
-    )
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    return (
-        scored.where("raw > 0")
-        .join(total, "query_id")
-        .withColumn("score", F.bround(F.least(F.lit(1.0), F.col("raw") / best), 4))
-        .withColumn("mass", F.bround(F.col("matched") / F.col("total"), 6))
-        .drop("matched", "total")
-    )
+from ..functions import text
+from . import index
+from .index import Index
 
 
 def mass_floor(weighted: DataFrame) -> DataFrame:
@@ -79,14 +35,12 @@ def natural_break(rows: DataFrame, group: str, score: str, *ties, ratio: float =
     return rows.withColumn("_ends", ends).withColumn("_cut", running).where("_cut = 0").drop("_ends", "_cut")
 
 
-def keyword_hits(posted: DataFrame, query: DataFrame) -> DataFrame:
-    """The best TOP_HITS sections of each query above the floor and before the natural break."""
-    found = search(posted, query)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "section_id"))
-    top = found.withColumn("_place", place).where(F.col("_place") <= TOP_HITS).drop("_place")
-    floors = mass_floor(term_weights(posted, query))
+def keyword_hits(sections: Index, query: DataFrame) -> DataFrame:
+    """The best TOP_HITS sections of each query above the floor and before the natural break; ties in the order of the corpus."""
+    top = index.search(sections, query, TOP_HITS)
+    floors = mass_floor(index.term_weights(sections, query))
     above = top.join(floors, "query_id").where("mass > floor").drop("floor")
-    return natural_break(above, "query_id", "raw", "section_id")
+    return natural_break(above, "query_id", "raw", "ord")
 
 
 def separation(scored: DataFrame, group: str, score: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval
+from ..operators import index, retrieval
+from ..storage import shared_dir
 from .bindings import TOKENS
 from .registry import plan, read
 
@@ -27,20 +31,50 @@ _POSTED = f"""
 """
 
 
+def _index(spark, d, name, sections):
+    """The index of the table, built once and then read by all searches of the application."""
+    path = f"{shared_dir(spark)}/bandweave/index-{name}-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}"
+    if not index.exists(spark, path):
+        index.build(sections, path)
+    return index.load(spark, path)
+
+
 def _corpus(spark, d):
-    posted = retrieval.postings(read(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.col("text").alias("body")))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.col("doc_id").alias("ord"), F.col("text"))
     terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokens(F.col("text"))).alias("term"))
-    return posted, terms.withColumn("weight", 1.0 + F.length("term") % 3)
+    return _index(spark, d, "bodies", docs), terms.withColumn("weight", 1.0 + F.length("term") % 3)
+
+
+@plan("ret01_index", f"""
+    WITH t AS (SELECT doc_id, {TOKENS.format("concat_ws(' ', nullif(source, ''), nullif(array_to_string([lang, source], ' '), ''), nullif(split_part(text, chr(10), 1), ''), nullif(text, ''))")} AS t FROM documents),
+    p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM t)
+    SELECT term, count(*) AS df, count(DISTINCT doc_id // 128) AS n_blocks, min(length) AS shortest FROM p GROUP BY term
+""")
+def ret01(spark, d):
+    """Source as title, language and source as labels, the first line as heading."""
+    fields = index.section_text(F.col("source"), F.array("lang", "source"), F.substring_index("text", "\n", 1), F.col("text"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("section_id"), F.col("doc_id").alias("ord"), fields.alias("text"))
+    return index.frequencies(_index(spark, d, "fields", docs))
 
 
 @plan("ret02_bm25_search", f"WITH {_POSTED} SELECT query_id, section_id, raw, score, mass FROM hits")
 def ret02(spark, d):
-    return retrieval.search(*_corpus(spark, d)).select("query_id", "section_id", "raw", "score", "mass")
+    return index.search(*_corpus(spark, d)).select("query_id", "section_id", "raw", "score", "mass")
+
+
+@plan("ret02_best_sections", f"""
+    WITH {_POSTED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, section_id) AS place FROM hits)
+    SELECT query_id, section_id, raw, score, mass, place FROM r WHERE place <= 20
+""")
+def ret02_best(spark, d):
+    """The search that prunes blocks."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "ord"))
+    return index.search(*_corpus(spark, d), top=20).withColumn("place", place).drop("ord", "matched_terms")
 
 
 @plan("flt05_mass_floor", f"WITH {_POSTED} SELECT query_id, round_even(mid / total, 6) AS floor FROM tot")
 def flt05(spark, d):
-    return retrieval.mass_floor(retrieval.term_weights(*_corpus(spark, d))).select("query_id", F.bround("floor", 6).alias("floor"))
+    return retrieval.mass_floor(index.term_weights(*_corpus(spark, d))).select("query_id", F.bround("floor", 6).alias("floor"))
 
 
 @plan("flt07_keyword_hits", f"""
@@ -56,7 +90,7 @@ def flt07(spark, d):
 
 @plan("agg26_corpus_statistics", f"WITH {_POSTED} SELECT n, round_even(average, 6) AS average FROM st")
 def agg26(spark, d):
-    return retrieval.corpus_statistics(_corpus(spark, d)[0]).select("n", F.bround("average", 6).alias("average"))
+    return _corpus(spark, d)[0].statistics.select("n", F.bround("average", 6).alias("average"))
 
 
 @plan("flt06_natural_break", """
