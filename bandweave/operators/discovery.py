@@ -137,6 +137,25 @@ def name_fault(name: Column, taken: Column, banned: tuple[str, ...]) -> Column:
     )
 
 
+def name_tree(proposals: DataFrame, banned: tuple[str, ...]) -> DataFrame:
+    """(node, name, fault): names for nodes (node, name), each name once.
+
+    Nodes take their turn by number. One whose proposal can't be used, or is
+    taken by an earlier node, is called after its number, and fault says why. A
+    proposal that reads like such a name of another node can't be used either,
+    so that no turn depends on more than the first claim to its name.
+    """
+    clean = F.trim(F.coalesce("name", F.lit("")))
+    stand_in = F.concat(F.lit("Capability "), F.col("node").cast("string"))
+    fault = name_fault(F.col("name"), F.lit(False), banned)
+    fault = F.coalesce(fault, F.when(clean.rlike(r"^Capability -?\d+$") & (clean != stand_in), "name of another"))
+    rows = proposals.select("node", F.col("name").alias("_proposed"), clean.alias("_clean"), fault.alias("_fault"))
+    first = rows.where("_fault IS NULL").groupBy("_clean").agg(F.min("node").alias("_first"))
+    found = rows.join(first, "_clean", "left")
+    why = F.coalesce("_fault", F.when(F.col("node") > F.col("_first"), "duplicate among siblings"))
+    return found.select("node", F.when(why.isNull(), F.col("_proposed")).otherwise(stand_in).alias("name"), why.alias("fault"))
+
+
 def reviewed(members: DataFrame, accept: bool) -> DataFrame:
     """Memberships with all that waited for review decided alike."""
     state = F.when(F.col("state") == "pending_review", "approved" if accept else "rejected").otherwise(F.col("state"))
