@@ -27,7 +27,7 @@ LANE = 384
 BATCH_BYTES = 1 << 19
 #: An automaton is built of about so many bytes for a language, in excerpts of labelled texts chosen by a hash of the id.
 SAMPLE_BYTES, EXCERPT = 24_000, 600
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 
 #: Class 0 separates words; ASCII letters are 1 to 26; other bytes follow.
 _CLASS = np.zeros(256, np.uint8)
@@ -36,6 +36,11 @@ _CLASS[128:] = np.arange(27, 155)
 CLASSES = 155
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category of Unicode; fractions, superscripts and Roman numerals aren't."""
+    return _PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
 def letters(text: str) -> np.ndarray:
     """Classes of the lower-cased text's bytes, with one separator between words."""
     return _squeeze(np.frombuffer(text.lower().encode(), np.uint8))[0]
@@ -203,7 +208,7 @@ def _lanes(known: Parser, classes: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 
 def _decided(b: pa.RecordBatch, keep, langs: list[str], bits: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-    speaks = np.array([bool(langs) and _LETTER.search(t) is not None for t in texts], bool)
+    speaks = np.array([bool(langs) and has_letter(t) for t in texts], bool)
     if langs:
         best = bits.argmin(axis=0)
         ranked = np.sort(bits, axis=0)

@@ -385,3 +385,21 @@ def test_decontamination_of_empty_tables(spark, docs, data):
     items = table(spark, data, "benchmark")
     assert decontaminate.contaminated(docs.where("false"), items).count() == 0
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
+
+
+def test_each_text_of_a_repeated_item_is_sought(spark):
+    """Items 1 and 2 share a text, item 1 has another; each document holds one of the texts, a third neither."""
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40)) for _ in range(3))
+    items = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, b, 0), (2, b, 0), (None, c, 0), (3, None, 0)], "item_id long, text string, doc_id int")
+    texts = spark.createDataFrame([(1001, f"before {a} after"), (1002, f"x {b} y"), (1003, c), (1004, "nothing here")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(texts, items).collect())
+    assert got == [(1001, 1), (1002, 1), (1002, 2)]
+
+
+@pytest.mark.parametrize("text, lang", [("½", False), ("²³", False), ("Ⅷ", False), ("1234 _-", False), ("ª", True), ("ё", True), ("北", True), ("4 x", True)])
+def test_only_letters_have_a_language(docs, text, lang):
+    assert langid.has_letter(text) is lang
+    learned = langid.learn(docs.limit(50))
+    df = docs.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
+    assert (langid.predict(df, learned).first().lang_pred != "und") is lang
