@@ -100,3 +100,7 @@ def rank_documents(docs: DataFrame, group: str, top: int = TOP_DOCUMENTS) -> Dat
     return docs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
+def links_in_order(links: DataFrame) -> DataFrame:
+    """links with place: a page's surest first, ties by capability."""
+    w = Window.partitionBy("page_id").orderBy(F.desc("confidence"), "capability_id")
+    return links.withColumn("place", F.row_number().over(w))

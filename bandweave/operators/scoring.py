@@ -117,3 +117,9 @@ def summary(scores: DataFrame) -> DataFrame:
     """One row an employee with its skills as an array, best first."""
     entry = F.struct((-F.col("score")).alias("rank"), "capability_id", "score", "band", "evidence_count")
     return scores.groupBy("employee_id").agg(F.array_sort(F.collect_list(entry)).alias("skills"))
+
+
+def in_order(scores: DataFrame) -> DataFrame:
+    """scores with place: an employee's skills by name, those without one first."""
+    w = Window.partitionBy("employee_id").orderBy(F.coalesce("skill_name", F.lit("")), "capability_id")
+    return scores.withColumn("place", F.row_number().over(w))

@@ -105,9 +105,11 @@ def nearest_ranks(rows: DataFrame, keys: tuple[str, ...], value: str, **quantile
 def best_match(items: DataFrame, summaries: DataFrame, floor: float = 0.25) -> DataFrame:
     """Each item's most similar summary by cosine of vectors, at least floor; ties to the smaller summary.
 
-    items has item_id and vector; summaries, few and fixed, node_id and vector.
+    items has item_id and vector; summaries node_id and vector. Every item meets
+    every summary, which is the result's rule; Spark sends the summaries to all
+    tasks only where they are small enough.
     """
-    pairs = items.crossJoin(F.broadcast(summaries.select("node_id", F.col("vector").alias("other"))))
+    pairs = items.crossJoin(summaries.select("node_id", F.col("vector").alias("other")))
     scored = pairs.withColumn("similarity", measures.cosine(F.col("vector"), F.col("other")))
     best = F.max_by(F.struct("node_id", "similarity"), F.struct("similarity", (-F.col("node_id")).alias("tie")))
     return scored.groupBy("item_id").agg(best.alias("best")).select("item_id", "best.*").where(F.col("similarity") >= floor)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import discovering, extracting, ordinal, paging, recording, reports, retrieving, scores, sourcing, storing, teaming, texts  # noqa: F401  they register their plans
+from . import discovering, extracting, ordinal, paging, reading, recording, reports, retrieving, scores, sourcing, storing, teaming, texts  # noqa: F401  they register their plans
 from .registry import PLANS
 
 

@@ -165,23 +165,23 @@ def win01(spark, d):
 
 
 @plan("snk01_insert_if_absent", """
-    SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0
+    SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 <> 1
     EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 3 = 1
 """)
 def snk01(spark, d):
     rows, keys = read(spark, d, "events"), ["user_id", "event_type"]
-    return sinks.only_new(rows.where("event_id % 3 = 0").select(*keys), rows.where("event_id % 3 = 1"), keys)
+    return sinks.only_new(rows.where("event_id % 3 <> 1").select(*keys), rows.where("event_id % 3 = 1"), keys)
 
 
 @plan("snk01_ingest_report", """
-    WITH i AS (SELECT user_id, event_type FROM events WHERE event_id % 3 = 0),
+    WITH i AS (SELECT user_id, event_type FROM events WHERE event_id % 3 <> 1),
     n AS (SELECT DISTINCT user_id, event_type FROM i EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 3 = 1)
     SELECT (SELECT count(*) FROM i) AS fetched, (SELECT count(*) FROM n) AS inserted,
            (SELECT count(*) FROM i) - (SELECT count(*) FROM n) AS duplicate
 """)
 def snk01_report(spark, d):
     rows, keys = read(spark, d, "events"), ["user_id", "event_type"]
-    return sinks.report(rows.where("event_id % 3 = 0"), rows.where("event_id % 3 = 1"), keys)
+    return sinks.report(rows.where("event_id % 3 <> 1"), rows.where("event_id % 3 = 1"), keys)
 
 
 @plan("snk03_upsert", f"""

@@ -132,17 +132,17 @@ def agg30_contributors(spark, d):
 
 
 @plan("agg30_capabilities", """
-    WITH e AS (SELECT l_partkey AS id, l_returnflag || ': ' || (l_orderkey * 10 + l_linenumber) AS line, l_orderkey * 10 + l_linenumber AS k FROM lineitem WHERE l_quantity > 45),
-    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM e),
-    c AS (SELECT id, count(*) AS records, string_agg(line, ',' ORDER BY k) FILTER (WHERE n <= 3) AS commits FROM r GROUP BY id)
+    WITH e AS (SELECT l_partkey AS id, l_returnflag || ': ' || (l_orderkey * 10 + l_linenumber) AS line, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, line) AS n FROM e),
+    c AS (SELECT id, count(*) AS records, string_agg(line, ',' ORDER BY k, line) FILTER (WHERE n <= 3) AS commits FROM r GROUP BY id)
     SELECT p_partkey AS id, 'services/' || lower(p_brand) AS tag, coalesce(records, 0) AS records, CASE WHEN records > 0 THEN 'github' ELSE 'unmapped' END AS source,
         split_part(p_name, ' ', 1) AS domain, coalesce(commits, '') AS commits FROM part LEFT JOIN c ON id = p_partkey
 """)
 def agg30_capabilities(spark, d):
     """Every capability with the number of its records and its first three."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"), k.alias("k"), F.concat("l_returnflag", F.lit(": "), k).alias("line"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("k"))
+    rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), k.alias("k"), F.concat("l_returnflag", F.lit(": "), k).alias("line"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "line"))
     first = rows.withColumn("n", place).where("n <= 3").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("first"))
     known = rows.groupBy("id").agg(F.count("*").alias("records")).join(first, "id")
     caps = read(spark, d, "part").withColumn("id", F.col("p_partkey")).join(known, "id", "left")

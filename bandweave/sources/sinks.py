@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import datasets
+
 
 def only_new(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct incoming rows whose keys aren't stored."""
@@ -71,8 +73,10 @@ def remove_edge(edges: DataFrame, source, target) -> DataFrame:
 
 
 def write_all(made: DataFrame, given: DataFrame, path: str) -> None:
-    """Write made as JSON; ValueError, and nothing written, unless it has as many rows as given."""
-    n, expected = made.count(), given.count()
-    if n != expected:
-        raise ValueError(f"{n} rows of {expected}")
-    write(made, path, "json")
+    """Put made as JSON in place of the dataset at path; ValueError, and the old one stays, unless it has as many rows as given."""
+    datasets.replace(made, path, "json", expected=given.count())
+
+
+def write_outputs(outputs: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Each table as a JSON dataset of its name below folder, replaced whole; the rows of each."""
+    return {name: datasets.replace(df, f"{folder}/{name}", "json") for name, df in outputs.items()}

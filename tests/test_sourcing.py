@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandweave.operators import prose
-from bandweave.sources import live, sinks
+from bandweave.sources import datasets, live, sinks
 
 
 @pytest.fixture(scope="module")
@@ -41,9 +41,9 @@ def test_edges_are_validated(spark):
 def test_write_all_refuses_lost_rows(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_all(spark.range(2), spark.range(3), str(tmp_path / "x"))
-    assert not (tmp_path / "x").exists()
+    assert datasets.read(spark, str(tmp_path / "x"), "json") is None
     sinks.write_all(spark.range(3), spark.range(3), str(tmp_path / "x"))
-    assert spark.read.json(str(tmp_path / "x")).count() == 3
+    assert datasets.read(spark, str(tmp_path / "x"), "json").count() == 3
 
 
 def test_reachable_pulls(spark):
