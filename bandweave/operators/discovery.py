@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import forget, stored
 from . import similarity
 
 # Bounds of a name, and what a summary for naming holds at most.
@@ -88,7 +89,11 @@ def top_votes(votes: DataFrame) -> DataFrame:
 
 
 def assign_names(votes: DataFrame) -> list[tuple]:
-    """(cluster, key): clusters in order take their best key that is still free. A round for each key, never for each cluster."""
+    """(cluster, key): clusters in order take their best key that is still free.
+
+    A round for each key, never for each cluster; the votes are counted and written once.
+    """
+    votes = stored(votes.select("cluster", "key", "votes"), "name-votes")
     used: list[str] = []
     out: list[tuple] = []
     while True:
@@ -97,6 +102,7 @@ def assign_names(votes: DataFrame) -> list[tuple]:
             free = free.where(F.col("cluster") > F.lit(out[-1][0]))
         row = free.orderBy("cluster", F.desc("votes"), "key").first()
         if row is None:
+            forget(votes)
             return out
         out.append((row["cluster"], row["key"]))
         used.append(row["key"])

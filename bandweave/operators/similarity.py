@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures
+from ..storage import stored
 from . import graph
 
 
@@ -95,13 +96,28 @@ def nearest_ranks(rows: DataFrame, keys: tuple[str, ...], value: str, **quantile
     table without any gives 1.0 where there are no keys.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    until, n = F.sum("_k").over(group.orderBy(value)), F.sum("_k").over(group)
-    placed = counted.withColumn("_until", until).withColumn("_n", n)
+    placed = _placed_by_group(counted, keys, value) if keys else _placed_by_range(counted, value)
     at = lambda q: F.min(F.when(F.col("_until") > F.bround(F.lit(q) * (F.col("_n") - 1), 0), F.col(value))).cast("double")
     return placed.groupBy(*keys).agg(*(F.coalesce(at(q), F.lit(1.0)).alias(name) for name, q in quantiles.items()))
 
 
+def _placed_by_group(counted: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """counted with _until, how many rows there are up to a value, and _n, how many in its group."""
+    group = Window.partitionBy(*keys)
+    return counted.withColumns({"_until": F.sum("_k").over(group.orderBy(value)), "_n": F.sum("_k").over(group)})
+
+
+def _placed_by_range(counted: DataFrame, value: str) -> DataFrame:
+    """The same without groups: values are dealt out by range, and a part goes on from the sums of those before it."""
+    parts = stored(counted.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), "ranks")
+    sums, before = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.sum("_k").alias("n")).collect()}, {}  # a row a part
+    for part in sorted(sums):
+        before[part] = sum(n for p, n in sums.items() if p < part)
+    starts = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
+    inside = F.sum("_k").over(Window.partitionBy("_part").orderBy(value))
+    return parts.withColumns({"_until": inside + starts[F.col("_part")], "_n": F.lit(sum(sums.values()))})
+
+
 def best_match(items: DataFrame, summaries: DataFrame, floor: float = 0.25) -> DataFrame:
     """Each item's most similar summary by cosine of vectors, at least floor; ties to the smaller summary.
 

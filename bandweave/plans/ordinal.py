@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bands, graph, similarity, teams
+from ..operators import bands, graph, reporting, similarity, teams
 from .bindings import DEPENDENCIES, EDGES, LINE_DAY, TOKENS, day, dependencies, edges, edges_sql, signatures
 from .registry import plan, read
 
@@ -40,7 +40,7 @@ def agg08(spark, d):
 
 @plan("agg09_unit_breadth", "SELECT l_orderkey AS unit, count(DISTINCT p_brand) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def agg09(spark, d):
-    return edges(spark, d).groupBy("unit").agg(F.countDistinct("capability").alias("n"))
+    return reporting.unit_breadth(edges(spark, d))
 
 
 @plan("joi19_band_grid", f"""

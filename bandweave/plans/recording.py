@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import absence, records, scoring
+from ..operators import absence, records, reporting, scoring
 from .bindings import ABSENT, BAND, EVIDENCE, LINE_DAY, SCORES, day, evidence
 from .registry import plan, read
 from .scores import contributions, scores
@@ -151,7 +151,7 @@ def joi22(spark, d):
 
 @plan("joi24_module_context", "SELECT p_brand AS capability_id, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS modules, count(*) AS n FROM part GROUP BY 1")
 def joi24(spark, d):
-    return read(spark, d, "part").groupBy(F.col("p_brand").alias("capability_id")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("modules"), F.count("*").alias("n"))
+    return reporting.module_context(read(spark, d, "part").select(F.col("p_brand").alias("capability_id"), F.col("p_type").alias("module")))
 
 
 @plan("joi26_profiles", f"""

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bands, graph, teams
+from ..operators import bands, reporting, teams
 from .bindings import DEPENDENCIES, EDGES, LINE_DAY, day, dependencies, edges, edges_sql
 from .ordinal import _bands
 from .registry import plan, read
@@ -46,13 +45,12 @@ def joi25(spark, d):
 
 @plan("agg35_strongest_band", f"WITH {EDGES} SELECT person, max(band_code) AS band_code FROM bd GROUP BY person")
 def agg35(spark, d):
-    return _bands(spark, d).groupBy("person").agg(F.max("band_code").alias("band_code"))
+    return reporting.strongest_bands(_bands(spark, d))
 
 
 @plan("agg33_coverage_map", f"WITH {EDGES} SELECT capability, string_agg(person, ',' ORDER BY person) AS people FROM bd WHERE band_code > 0 GROUP BY capability")
 def agg33(spark, d):
-    people = F.array_join(F.transform(F.array_sort(F.collect_list("person")), lambda p: p.cast("string")), ",")
-    return _bands(spark, d).where("band_code > 0").groupBy("capability").agg(people.alias("people"))
+    return reporting.coverage_map(_bands(spark, d))
 
 
 @plan("qry10_sole_coverers", f"""
@@ -102,9 +100,7 @@ def qry09(spark, d):
 """)
 def qry11(spark, d):
     people = read(spark, d, "supplier").select(F.col("s_suppkey").alias("person"), F.col("s_name").alias("name"))
-    return people.join(_bands(spark, d), "person", "left").groupBy("person", "name").agg(
-        F.count("capability").alias("capabilities"), F.count_if(F.col("band_code") == 3).alias("high"), F.coalesce(F.max("band_code"), F.lit(0)).alias("best")
-    )
+    return reporting.employee_list(people, _bands(spark, d))
 
 
 @plan("qry20_mark_unavailable", f"""
@@ -115,13 +111,7 @@ def qry11(spark, d):
 """)
 def qry20(spark, d):
     """Only what the person has: the best band before and after."""
-    found = _bands(spark, d)
-    mine = found.where("person = 3 AND band_code > 0").select("capability")
-    both = found.join(mine, "capability", "left_semi").groupBy("capability").agg(
-        F.max("band_code").alias("before"), F.coalesce(F.max(F.when(F.col("person") != 3, F.col("band_code"))), F.lit(0)).alias("after")
-    )
-    status = F.when(F.col("after") == 0, "Lost").when(F.col("after") < F.col("before"), "Degraded").otherwise("Maintained")
-    return both.withColumn("status", status)
+    return reporting.mark_unavailable(_bands(spark, d), 3)
 
 
 @plan("opt05_departure_targets", f"WITH {EDGES} SELECT capability FROM bd WHERE person = 3 AND band_code >= 2")
@@ -196,10 +186,11 @@ def joi15(spark, d):
 """)
 def joi16(spark, d):
     """Records with whatever is known of them: missing employees and units stay null."""
-    people = read(spark, d, "customer").where("c_acctbal > 1000").select("c_custkey", F.col("c_name").alias("employee"), "c_nationkey", "c_acctbal")
-    units = read(spark, d, "nation").where("n_regionkey < 3").select("n_nationkey", F.col("n_name").alias("unit"))
-    joined = read(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"), "left").join(units, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return joined.select(F.col("o_orderkey").alias("record_id"), "employee", "unit", F.when(F.col("c_acctbal") > 0, "open").alias("state"))
+    people = read(spark, d, "customer").where("c_acctbal > 1000").select(
+        F.col("c_custkey").alias("person_id"), F.col("c_name").alias("employee"), F.col("c_nationkey").alias("unit_id"), F.when(F.col("c_acctbal") > 0, "open").alias("state"))
+    units = read(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("unit"))
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("person_id"))
+    return reporting.record_details(rows, people, units).select("record_id", "employee", "unit", "state")
 
 
 @plan("joi17_record_list", """
@@ -210,12 +201,9 @@ def joi16(spark, d):
 """)
 def joi17(spark, d):
     """Counts that every record shows, aggregated once and joined."""
-    items = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(
-        F.count("*").alias("items"), F.count_if(F.col("l_returnflag") != "R").alias("eligible"),
-        F.countDistinct("l_suppkey").alias("people"), F.max(F.col("l_shipdate").cast("date")).alias("last_at"),
-    )
-    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("record_id")).join(items, "record_id", "left")
-    return rows.fillna(0, ["items", "eligible", "people"])
+    items = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("record_id"), (F.col("l_returnflag") != "R").alias("eligible"), F.col("l_suppkey").alias("person"), F.col("l_shipdate").cast("date").alias("occurred_at"))
+    return reporting.record_counts(read(spark, d, "orders").select(F.col("o_orderkey").alias("record_id")), items)
 
 
 @plan("agg27_pipeline_report", """
@@ -223,10 +211,8 @@ def joi17(spark, d):
         count(*) FILTER (WHERE l_discount <= 0.02) AS excluded FROM lineitem GROUP BY 1
 """)
 def agg27(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("source")).agg(
-        F.countDistinct("l_orderkey").alias("records"), F.count("*").alias("items"),
-        F.count_if(F.col("l_discount") > 0.02).alias("eligible"), F.count_if(F.col("l_discount") <= 0.02).alias("excluded"),
-    )
+    return reporting.source_report(read(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("source"), F.col("l_orderkey").alias("record_id"), (F.col("l_discount") > 0.02).alias("eligible")))
 
 
 @plan("agg28_unit_list", f"""
@@ -235,21 +221,14 @@ def agg27(spark, d):
     FROM e GROUP BY unit ORDER BY members DESC, last_at DESC, unit LIMIT 50
 """)
 def agg28(spark, d):
-    """Work units with what they hold, the largest and latest first, 50 of them."""
-    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda v: v.cast("string")), ",").alias
-    rows = edges(spark, d)
-    top = rows.groupBy("unit").agg(F.count("*").alias("members"), F.max("occurred_at").alias("last_at"))
-    top = top.orderBy(F.desc("members"), F.desc("last_at"), "unit").limit(50)
-    named = rows.join(F.broadcast(top.select("unit")), "unit").groupBy("unit").agg(
-        listed("person")("people"), listed("capability")("capabilities"), listed("role")("roles")
-    )
-    return top.join(named, "unit")
+    """Work units with what they hold, the largest and latest first."""
+    return reporting.unit_list(edges(spark, d))
 
 
 @plan("agg29_contaminated_units", "SELECT l_orderkey AS unit, count(DISTINCT l_returnflag) AS sources FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
 def agg29(spark, d):
     """Units whose items come from more than one kind of source."""
-    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit")).agg(F.countDistinct("l_returnflag").alias("sources")).where("sources > 1")
+    return reporting.contaminated_units(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_returnflag").alias("source")))
 
 
 @plan("agg30_source_status", """
@@ -257,20 +236,15 @@ def agg29(spark, d):
         list_sort(list(DISTINCT o_custkey))[1] || ',' || list_sort(list(DISTINCT o_custkey))[2] || ',' || list_sort(list(DISTINCT o_custkey))[3] AS sample FROM orders GROUP BY 1
 """)
 def agg30(spark, d):
-    done = F.col("o_orderstatus").isin("F", "P")
-    rows = read(spark, d, "orders").withColumnRenamed("o_orderpriority", "source")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("o_custkey"))
-    three = rows.select("source", "o_custkey").distinct().withColumn("p", place).where("p <= 3").groupBy("source")
-    sample = three.agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_custkey")), lambda v: v.cast("string")), ",").alias("sample"))
-    return rows.groupBy("source").agg(F.count_if(done).alias("done"), F.count_if(~done).alias("waiting")).join(sample, "source")
+    return reporting.source_status(read(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("actor"), F.col("o_orderstatus").isin("F", "P").alias("done")))
 
 
 @plan("agg32_top_contributors", """
     SELECT l_suppkey AS person, count(*) AS n, count(DISTINCT l_returnflag) AS sources FROM lineitem GROUP BY 1 ORDER BY n DESC, person LIMIT 12
 """)
 def agg32(spark, d):
-    found = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("person")).agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("sources"))
-    return found.orderBy(F.desc("n"), "person").limit(12)
+    return reporting.top_contributors(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("source")))
 
 
 @plan("joi18_referential_checks", """
@@ -282,23 +256,20 @@ def agg32(spark, d):
 def joi18(spark, d):
     """References without a row to point at, by check."""
     t = {n: read(spark, d, n) for n in ("lineitem", "part", "orders", "customer", "nation")}
-    checks = [
-        ("part", t["lineitem"], "l_partkey", t["part"].where("p_size < 40"), "p_partkey"),
-        ("customer", t["orders"], "o_custkey", t["customer"].where("c_acctbal > 0"), "c_custkey"),
-        ("order", t["lineitem"], "l_orderkey", t["orders"], "o_orderkey"),
-        ("nation", t["customer"], "c_nationkey", t["nation"].where("n_regionkey <> 2"), "n_nationkey"),
-    ]
-    out = None
-    for name, rows, key, known, other in checks:
-        one = rows.join(known.select(other), F.col(key) == F.col(other), "left_anti").agg(F.lit(name).alias("check_name"), F.count("*").alias("broken"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return reporting.broken_references({
+        "part": (t["lineitem"].select("l_partkey"), t["part"].where("p_size < 40").select("p_partkey")),
+        "customer": (t["orders"].select("o_custkey"), t["customer"].where("c_acctbal > 0").select("c_custkey")),
+        "order": (t["lineitem"].select("l_orderkey"), t["orders"].select("o_orderkey")),
+        "nation": (t["customer"].select("c_nationkey"), t["nation"].where("n_regionkey <> 2").select("n_nationkey")),
+    })
 
 
 @plan("flt08_coverage_set", "SELECT s_suppkey AS person FROM supplier WHERE s_acctbal > 0 AND NOT s_name LIKE '%7'")
 def flt08(spark, d):
-    """People who count: active, and no service account."""
-    return read(spark, d, "supplier").where((F.col("s_acctbal") > 0) & ~F.col("s_name").like("%7")).select(F.col("s_suppkey").alias("person"))
+    """Suppliers in the red have left; names that end in 7 are service accounts."""
+    return reporting.coverage_set(read(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("person"), F.when(F.col("s_acctbal") > 0, "active").otherwise("departed").alias("status"),
+        F.col("s_name").like("%7").alias("is_service_account")))
 
 
 @plan("gra10_evidence_graph", f"""
@@ -308,14 +279,7 @@ def flt08(spark, d):
 """)
 def gra10(spark, d):
     """Nodes and links of people and capabilities; what one person's absence takes away is faded."""
-    found = _bands(spark, d)
-    gone = F.col("person") == 3
-    name = F.col("person").cast("string")
-    people = found.select(F.lit("person").alias("kind"), name.alias("id"), F.lit(None).cast("string").alias("target"), gone.alias("faded")).distinct()
-    held = found.groupBy("capability").agg(F.bool_and(gone | (F.col("band_code") == 0)).alias("faded"))
-    caps = held.select(F.lit("capability").alias("kind"), F.col("capability").alias("id"), F.lit(None).cast("string").alias("target"), "faded")
-    links = found.where("band_code > 0").select(F.lit("edge").alias("kind"), name.alias("id"), F.col("capability").alias("target"), gone.alias("faded"))
-    return people.unionByName(caps).unionByName(links)
+    return reporting.evidence_graph(_bands(spark, d), 3)
 
 
 @plan("gra11_dependency_graph", f"""
@@ -327,11 +291,7 @@ def gra10(spark, d):
 def gra11(spark, d):
     """Components with their exposure to an origin; the shortest way counts."""
     nodes = read(spark, d, "nation").select(F.col("n_nationkey").alias("component"), F.col("n_name").alias("name"))
-    links = dependencies(spark, d).distinct()
-    hops = graph.exposure(nodes.where("component = 4").select("component"), links)
-    out = nodes.join(hops, "component", "left").join(links.groupBy(F.col("source").alias("component")).agg(F.count("*").alias("depends_on")), "component", "left")
-    shown = F.when(F.col("component") == 4, "ORIGIN").when(F.col("hop") == 1, "DIRECT").when(F.col("hop") == 2, "SECOND").otherwise("NONE")
-    return out.select("component", "name", shown.alias("exposure"), F.coalesce("depends_on", F.lit(0)).alias("depends_on"))
+    return reporting.dependency_graph(nodes, dependencies(spark, d).distinct(), 4).select("component", "name", "exposure", "depends_on")
 
 
 @plan("gra12_containment_graph", """
@@ -339,9 +299,9 @@ def gra11(spark, d):
     UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'supplier' FROM supplier
 """)
 def gra12(spark, d):
-    node = lambda df, mark, key, parent, kind: read(spark, d, df).select(
-        F.concat(F.lit(mark), F.col(key)).alias("id"), parent.alias("parent"), F.lit(kind).alias("kind")
-    )
-    regions = node("region", "R", "r_regionkey", F.lit(None).cast("string"), "region")
-    nations = node("nation", "N", "n_nationkey", F.concat(F.lit("R"), F.col("n_regionkey")), "nation")
-    return regions.unionByName(nations).unionByName(node("supplier", "S", "s_suppkey", F.concat(F.lit("N"), F.col("s_nationkey")), "supplier"))
+    mark = lambda name, c: F.concat(F.lit(name), F.col(c))
+    level = lambda table, own, above: read(spark, d, table).select(own.alias("id"), above.alias("parent"))
+    return reporting.containment([
+        ("region", level("region", mark("R", "r_regionkey"), F.lit(None))), ("nation", level("nation", mark("N", "n_nationkey"), mark("R", "n_regionkey"))),
+        ("supplier", level("supplier", mark("S", "s_suppkey"), mark("N", "s_nationkey"))),
+    ])

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import prose
+from ..operators import prose, reporting
 from ..sources import live, sinks
 from .bindings import DEPENDENCIES, dependencies
 from .registry import plan, read
@@ -125,10 +124,8 @@ def snk02(spark, d):
 """)
 def agg30_contributors(spark, d):
     """Everyone, with an address made of the name and the number of their records."""
-    counts = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("records"))
     people = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    email = F.concat(F.replace(F.lower("name"), F.lit(" "), F.lit(".")), F.lit("@example.org"))
-    return people.join(counts, "id", "left").select("id", "name", email.alias("email"), F.coalesce("records", F.lit(0)).alias("records"))
+    return reporting.contributors(people, read(spark, d, "orders").select(F.col("o_custkey").alias("id")), "example.org")
 
 
 @plan("agg30_capabilities", """
@@ -142,14 +139,11 @@ def agg30_capabilities(spark, d):
     """Every capability with the number of its records and its first three."""
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), k.alias("k"), F.concat("l_returnflag", F.lit(": "), k).alias("line"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "line"))
-    first = rows.withColumn("n", place).where("n <= 3").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("first"))
-    known = rows.groupBy("id").agg(F.count("*").alias("records")).join(first, "id")
-    caps = read(spark, d, "part").withColumn("id", F.col("p_partkey")).join(known, "id", "left")
+    caps = read(spark, d, "part").withColumn("id", F.col("p_partkey")).join(reporting.first_records(rows), "id", "left")
     return caps.select(
         "id", F.concat(F.lit("services/"), F.lower("p_brand")).alias("tag"), F.coalesce("records", F.lit(0)).alias("records"),
         F.when(F.col("records") > 0, "github").otherwise("unmapped").alias("source"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("domain"),
-        F.coalesce(F.array_join(F.col("first.line"), ","), F.lit("")).alias("commits"),
+        F.coalesce("first", F.lit("")).alias("commits"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, measures, text
-from ..operators import events, normalize
+from ..operators import events, normalize, reporting
 from ..sources import files
 from .bindings import EVENT_DAY, LINE_DAY, TOKENS, day
 from .registry import plan, read
@@ -386,9 +386,9 @@ def src16(spark, d):
 """)
 def flt10(spark, d):
     e = read(spark, d, "events")
-    buyers = e.where("event_type = 'purchase'").select("user_id")
-    hits = e.where(F.ilike("event_type", F.lit("%IEW%"))).join(buyers, "user_id", "left_semi")
-    return hits.orderBy(F.desc_nulls_last("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
+    rows = e.select(F.col("event_id").alias("record_id"), F.col("user_id").alias("person"), F.col("event_type").alias("title"), F.col("ts").alias("occurred_at"))
+    found = reporting.record_search(rows, "IEW", e.where("event_type = 'purchase'").select(F.col("user_id").alias("person")))
+    return found.select(F.col("record_id").alias("event_id"), F.col("title").alias("event_type"))
 
 
 @plan("dat02_event_recency", f"""
