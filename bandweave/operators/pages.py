@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import TOP_DOCUMENTS
 from ..functions import text
+from . import retrieval
+from .index import Index
 
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -125,3 +127,21 @@ def transfer_package(contexts: DataFrame, documents: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "page_id"))), lambda o: o["page_id"].cast("string")), ",").alias("documents")
     )
     return contexts.withColumn("gap_no", order).join(found, "capability_id", "left")
+
+
+def gap_context(contexts: DataFrame, capability) -> DataFrame:
+    """The one context of a capability; KeyError if there is none of that name."""
+    found = contexts.where(F.col("capability_id") == F.lit(capability))
+    if found.isEmpty():
+        raise KeyError(capability)
+    return found
+
+
+def retrieve(sections: Index, query: DataFrame, structural: DataFrame, page_of, top: int = TOP_DOCUMENTS) -> DataFrame:
+    """two_tiers() of one query's terms (query_id, term, weight): linked pages, then pages with keyword hits of the index.
+
+    page_of gives a section's page from its section_id. Without terms only linked
+    pages are found.
+    """
+    hits = retrieval.keyword_hits(sections, query).select("query_id", page_of.alias("page_id"), "score")
+    return two_tiers(structural, hits, top)

@@ -202,3 +202,29 @@ def ret06(spark, d):
     nothing = linked.where("false")
     package = pages.transfer_package(_contexts(spark, d), pages.two_tiers(linked, nothing))
     return package.select("capability_id", "gap_no", "query", "documents")
+
+
+@plan("qry14_gap_context", f"""
+    WITH {_GAPS}, r AS (SELECT ga.capability_id, after, modules, query FROM ga LEFT JOIN mo USING (capability_id) LEFT JOIN qt USING (capability_id) WHERE after < 0.45)
+    SELECT * FROM r WHERE capability_id = (SELECT min(capability_id) FROM r)
+""")
+def qry14_context(spark, d):
+    """What would be searched for one gap: its modules and its strongest terms."""
+    found = _contexts(spark, d)
+    return pages.gap_context(found, found.agg(F.min("capability_id")).first()[0]).withColumn("modules", F.array_join("modules", ","))
+
+
+@plan("qry14_retrieve", f"""
+    WITH {_CUT}, k AS (SELECT query_id, page_id, max(score) AS score FROM kw GROUP BY 1, 2),
+    u AS (SELECT query_id, page_id, score, true AS structural FROM sl UNION ALL SELECT k.query_id, k.page_id, k.score, false FROM k ANTI JOIN sl ON sl.query_id = k.query_id AND sl.page_id = k.page_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY structural DESC, score DESC, page_id) AS place FROM u)
+    SELECT query_id, page_id, structural, score, place FROM r WHERE place <= 5 AND query_id = (SELECT max(item_id) FROM benchmark)
+""")
+def qry14_retrieve(spark, d):
+    """The documents of one query, from the index."""
+    sections, terms = _corpus(spark, d)
+    one = read(spark, d, "benchmark").agg(F.max("item_id")).first()[0]
+    docs = read(spark, d, "documents").where(F.col("doc_id") % 97 == F.lit(one)).select(F.lit(one).alias("query_id"), F.floor(F.col("doc_id") / 4).alias("page_id"))
+    linked = docs.distinct().withColumn("score", F.lit(1.0))
+    found = pages.retrieve(sections, terms.where(F.col("query_id") == F.lit(one)), linked, F.floor(F.col("section_id") / 4))
+    return found.select("query_id", "page_id", "structural", "score", "place")

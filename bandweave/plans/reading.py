@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import bands, drilldown, packages, scoring
-from ..sources import datasets, files, mapping, sinks
+from ..sources import datasets, files, mapping, relational, sinks
 from ..storage import shared_dir
 from .bindings import EDGES, LINE_DAY, SCORES, TOKENS, day, edges
 from .registry import plan, read
@@ -330,3 +330,39 @@ def srt10(spark, d):
         packages.write(one, folder)
         time.sleep(0.02)  # file times are in milliseconds
     return packages.written(spark, folder).select("slug", "place")
+
+
+def _relational(spark, d):
+    p = read(spark, d, "part")
+    caps = p.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("capability_id"), F.min("p_type").alias("component_id")).withColumn("description", F.lit(None).cast("string"))
+    components = p.select(F.col("p_type").alias("component_id"), (F.length("p_type") % 2).alias("system_id"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("description")).distinct()
+    systems = spark.range(2).select(F.col("id").alias("system_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("description"))
+    return systems, components, caps
+
+
+@plan("src30_relational_taxonomy", """
+    WITH c AS (SELECT min(p_partkey) AS id, min(p_type) AS t FROM part GROUP BY p_brand)
+    SELECT p_type AS module_id, (length(p_type) % 2)::VARCHAR AS service, coalesce((SELECT string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) FROM c WHERE t = p_type), '') AS capabilities
+    FROM (SELECT DISTINCT p_type FROM part)
+""")
+def src30_taxonomy(spark, d):
+    found = relational.taxonomy(*_relational(spark, d))
+    service = found["services"].select(F.col("id").alias("service_id"), F.col("name").alias("service"))
+    return found["modules"].join(service, "service_id").select(F.col("id").alias("module_id"), "service", F.array_join("capability_ids", ",").alias("capabilities"))
+
+
+@plan("src30_relational_evidence", """
+    WITH c AS (SELECT p_brand, min(p_partkey) AS id, min(p_type) AS t FROM part GROUP BY p_brand)
+    SELECT l_suppkey::VARCHAR AS employee_id, id::VARCHAR AS capability_id, t AS module_id, lower(l_returnflag) AS type, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date,
+        count(*) AS n, sum(CASE WHEN l_discount = 0 THEN 1.0 ELSE l_discount END) AS score
+    FROM lineitem JOIN part ON p_partkey = l_partkey JOIN c USING (p_brand) GROUP BY ALL
+""")
+def src30_evidence(spark, d):
+    """Line items as evidence of brands; a discount of zero counts as full strength."""
+    caps = _relational(spark, d)[2]
+    brands = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name")).join(caps.select("name", "capability_id"), "name")
+    rows = read(spark, d, "lineitem").join(brands, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("evidence_id"), F.col("l_suppkey").alias("employee_id"), "capability_id", F.col("l_returnflag").alias("evidence_type"),
+        F.col("l_shipdate").alias("observed_at"), F.col("l_discount").alias("strength"), F.lit(None).cast("string").alias("description"))
+    found = relational.evidence(rows, caps)
+    return found.groupBy("employee_id", "capability_id", "module_id", "type", "date").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
