@@ -170,7 +170,9 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], keep: tuple
     """Columns keep, then lang_pred and score: how many fewer bits than the second language the first needs, 0 to 1.
 
     Null, empty and letterless texts (and all, if nothing was learned) are `und`
-    with score 0. Equal languages go to the first in order of name. Repeated rows stay.
+    with score 0. Equal languages go to the first in order of name. Repeated rows
+    stay, texts of any length are parsed whole (in lanes), columns that aren't kept
+    are left behind, and an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) ->
     component_id is the smallest doc_id reachable over fingerprints of at most
     radius (even) differing bits, itself included. Texts without words have
     fingerprint zero and link like any other. Repeated rows stay; a row with a
-    null id gets its component's smallest id.
+    null id gets its component's smallest id. Texts of any length are taken whole,
+    further columns are left behind, and an empty table gives an empty result.
     """
     found = written(fingerprints(docs, shingle), "fingerprints")
     first = found.groupBy("fp").agg(F.min("doc_id").alias("doc"))

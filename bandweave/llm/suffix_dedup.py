@@ -301,7 +301,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end): bytes covered by strings of SIZE bytes that a smaller document has; spans may overlap.
 
     Rows of a null id neither remove nor are removed from; rows of one id don't
-    remove from each other; null texts are empty.
+    remove from each other, and must have one text: a span of one would be taken
+    from all of them. Null texts are empty and texts of any length are taken whole;
+    further columns are left behind; an empty table gives no spans.
     """
     spark = docs.sparkSession
     docs = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id").where("doc_id IS NOT NULL")

@@ -129,7 +129,9 @@ def write_token_files(docs: DataFrame, out: str, path: str) -> None:
     """Write documents (doc_id, text) to folder out in ascending id order.
 
     Null texts are empty; a null id sorts first and is kept; repeated rows are
-    separate documents; an empty table gives empty files.
+    separate documents, equal ids in any order; texts of any length are one frame
+    each; further columns are left behind; an empty table gives empty files. The
+    smallest 64-bit integer stands for a null id and reads back as null.
     """
     spark = docs.sparkSession
     docs = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id")

@@ -151,7 +151,7 @@ def top_k(
     than k candidates give fewer rows. A row never answers a query of its own
     id. Repeated rows of an id are candidates of their own; as queries, one
     (the smallest vector) stands for an id. Vectors of other lengths count as
-    padded with zeros. Empty input gives an empty result.
+    padded with zeros. Further columns are left behind. Empty input gives an empty result.
     """
     spark = df.sparkSession
     vectors = integer_vectors(df, vec_id, vector, scale)
