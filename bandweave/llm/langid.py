@@ -6,7 +6,10 @@ match from where the last one ended; log2(sample size) bits name a phrase. The
 language whose phrases need the fewest bits wins.
 
 Texts are parsed in lanes of LANE letters, all lanes and languages one step at a
-time; a lane's end also ends a phrase.
+time. A lane begins with a phrase of its own; afterwards the phrase that the lane
+before left open is followed into it until it ends where one of the lane's own
+begins, and the difference is made up, so that the count is that of one parse of
+the whole text. A text with a lane in which the two never meet is parsed alone.
 """
 
 from __future__ import annotations
@@ -46,11 +49,13 @@ def letters(text: str) -> np.ndarray:
     return _squeeze(np.frombuffer(text.lower().encode(), np.uint8))[0]
 
 
-def _squeeze(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes without repeated separators, and which bytes they are of."""
+def _squeeze(data: np.ndarray, firsts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes without repeated separators, and which bytes they are of; firsts are the places at which texts begin."""
     classes = _CLASS[data]
     keep = np.ones(len(classes), bool)
     keep[1:] = (classes[1:] != 0) | (classes[:-1] != 0)
+    if firsts is not None:
+        keep[firsts] = True
     return classes[keep], keep
 
 
@@ -109,29 +114,74 @@ class Parser:
         self.roots = np.array(roots, np.int32)[:, None]
         self.bits = np.array([np.log2(max(2, len(p))) for p in parts])
 
-    def phrases(self, lanes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane (a column of classes of which the first sizes count) in each language."""
-        count = np.zeros((len(self.langs), lanes.shape[1]), np.int64)
-        state = np.broadcast_to(self.roots, count.shape).copy()
+    def parse(self, lanes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each lane (a column of classes of which the first sizes count) on its own, in each language.
+
+        Returns where phrases begin (row, language, lane), and the state at the end of each lane and whether a phrase is open there.
+        """
+        shape = (len(self.langs), lanes.shape[1])
+        begins = np.zeros((lanes.shape[0], *shape), bool)
+        state, inner = np.broadcast_to(self.roots, shape).copy(), np.zeros(shape, bool)
         order = np.argsort(-sizes, kind="stable")
         ends = np.searchsorted(-sizes[order], -np.arange(lanes.shape[0]), side="left")
-        lanes, inner = self.place[lanes[:, order]], np.zeros(count.shape, bool)
-        for row, live in zip(lanes, ends, strict=True):
+        placed = self.place[lanes[:, order]]
+        for row, (step, live) in enumerate(zip(placed, ends, strict=True)):
             if not live:
                 break
-            step = row[:live]
+            step = step[:live]
             after = self.next[state[:, :live] + step]
-            miss = after < 0
-            count[:, :live] += miss & inner[:, :live]  # the phrase so far ends before this letter
-            again = self.next[self.roots + step]
-            after = np.where(miss, again, after)
-            alone = after < 0  # no phrase starts with it: a phrase of its own
-            count[:, :live] += alone
+            miss = after < 0  # the phrase so far ends before this letter
+            begins[row, :, :live] = miss | ~inner[:, :live]
+            after = np.where(miss, self.next[self.roots + step], after)
+            alone = after < 0  # no phrase goes on from it: a phrase of its own
             inner[:, :live] = ~alone
             state[:, :live] = np.where(alone, self.roots, after)
-        count += inner
-        out = np.empty_like(count)
-        out[:, order] = count
+        back = np.argsort(order, kind="stable")
+        return begins[:, :, back], state[:, back], inner[:, back]
+
+    def joined(self, lanes: np.ndarray, sizes: np.ndarray, begins: np.ndarray, entry: tuple[np.ndarray, np.ndarray], later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many phrases more or fewer there are where a lane goes on from its entry (states, open), and the lanes that never meet their own parse.
+
+        later: the lanes that go on from another one.
+        """
+        extra, apart = np.zeros(entry[0].shape, np.int64), np.zeros(len(sizes), bool)
+        lang, lane = np.nonzero(np.broadcast_to(later, extra.shape))
+        state, inner, roots = entry[0][lang, lane], entry[1][lang, lane], self.roots[:, 0]
+        for row in range(lanes.shape[0]):
+            over = sizes[lane] <= row
+            if over.any():
+                apart[lane[over]] = True
+                lang, lane, state, inner = (x[~over] for x in (lang, lane, state, inner))
+            if not len(lane):
+                break
+            step = self.place[lanes[row, lane]]
+            after = self.next[state + step]
+            miss = after < 0
+            begin, own = miss | ~inner, begins[row, lang, lane]
+            np.add.at(extra, (lang, lane), begin.astype(np.int64) - own)
+            after = np.where(miss, self.next[roots[lang] + step], after)
+            inner = after >= 0
+            state = np.where(inner, after, roots[lang])
+            apart_still = ~(begin & own)
+            lang, lane, state, inner = (x[apart_still] for x in (lang, lane, state, inner))
+        apart[lane] = True
+        return extra, apart
+
+    def alone(self, classes: np.ndarray) -> list[int]:
+        """Phrases of one text in each language, letter by letter."""
+        steps, out = self.place[classes].tolist(), []
+        table = self.next.tolist() if len(steps) > len(self.next) else self.next
+        for root in self.roots[:, 0].tolist():
+            state, count = root, 0
+            for step in steps:
+                after = table[state + step]
+                if after < 0:
+                    count += state != root
+                    after = table[root + step]
+                    if after < 0:
+                        count, after = count + 1, root
+                state = after
+            out.append(count + (state != root))
         return out
 
 
@@ -179,17 +229,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], keep: tuple
         known = _parser(samples)
         for b in batches:
             texts = b.column("text").to_pylist()
-            low = pa.array([t.lower() for t in texts], pa.large_string())
-            data, offsets = text_buffers(low)
-            cuts, owners = cut_long(data, offsets)
-            phrases = np.zeros((len(known.langs), len(texts)), np.int64)
-            for a, z in pieces(cuts, BATCH_BYTES) if known.langs else ():
-                part = cuts[a : z + 1]
-                classes, kept = _squeeze(data[part[0] : part[-1]])
-                ends = np.concatenate(([0], np.cumsum(kept)))[part - part[0]]
-                counts, rows = _lanes(known, classes, ends)
-                np.add.at(phrases.T, owners[a + rows], counts.T)
-            bits = phrases * known.bits[:, None]
+            bits = count_phrases(known, texts) * known.bits[:, None]
             yield _decided(b, keep, known.langs, bits, texts)
 
     texts = with_text(docs, *keep)
@@ -197,16 +237,60 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], keep: tuple
     return texts.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
-def _lanes(known: Parser, classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of all lanes of texts that end at ends, and each lane's text."""
-    sizes = np.diff(ends)
+def count_phrases(known: Parser, texts: list[str]) -> np.ndarray:
+    """Phrases of each text (a column) in each language, as of one parse of the whole text."""
+    phrases = np.zeros((len(known.langs), len(texts)), np.int64)
+    if not known.langs:
+        return phrases
+    low = pa.array([t.lower() for t in texts], pa.large_string())
+    data, offsets = text_buffers(low)
+    cuts, owners = cut_long(data, offsets)
+    entry, apart = _Entry(len(known.langs)), set()
+    for a, z in pieces(cuts, BATCH_BYTES):
+        part, mine = cuts[a : z + 1], owners[a:z]
+        new = np.concatenate(([a == 0 or owners[a - 1] != mine[0]], mine[1:] != mine[:-1])) & (np.diff(part) > 0)
+        classes, kept = _squeeze(data[part[0] : part[-1]], part[:-1][new] - part[0])
+        ends = np.concatenate(([0], np.cumsum(kept)))[part - part[0]]
+        counts, rows, unmet = _lanes(known, classes, ends, mine, entry)
+        np.add.at(phrases.T, rows, counts.T)
+        apart.update(rows[unmet].tolist())
+    for row in apart:
+        phrases[:, row] = known.alone(letters(texts[row]))
+    return phrases
+
+
+class _Entry:
+    """What the last lane left open: its text, states and open phrases, and whether it ended with a separator."""
+
+    def __init__(self, langs: int):
+        self.owner = -1
+        self.state, self.inner = np.zeros((langs, 1), np.int32), np.zeros((langs, 1), bool)
+        self.blank = False
+
+
+def _lanes(known: Parser, classes: np.ndarray, ends: np.ndarray, owners: np.ndarray, entry: _Entry) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of all lanes of parts that end at ends, each lane's text, and whether it never meets its own parse."""
+    begin = ends[:-1].copy()
+    if len(classes) and owners[0] == entry.owner and entry.blank and begin[0] < ends[1] and classes[begin[0]] == 0:
+        begin[0] += 1  # the separator is there already
+    sizes = ends[1:] - begin
     each = -(-sizes // LANE)
-    rows = np.repeat(np.arange(len(sizes)), each)
+    parts = np.repeat(np.arange(len(sizes)), each)
+    rows = owners[parts]
     nth = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
-    starts = ends[:-1][rows] + nth * LANE
-    lens = np.minimum(LANE, ends[1:][rows] - starts)
-    at = np.minimum(starts[None, :] + np.arange(LANE)[:, None], max(0, len(classes) - 1))
-    return known.phrases(classes[at] if len(classes) else at.astype(np.uint8), lens), rows
+    starts = begin[parts] + nth * LANE
+    lens = np.minimum(LANE, ends[1:][parts] - starts)
+    if not len(rows):
+        return np.zeros((len(known.langs), 0), np.int64), rows, np.zeros(0, bool)
+    at = np.minimum(starts[None, :] + np.arange(LANE)[:, None], len(classes) - 1)
+    lanes = classes[at]
+    begins, state, inner = known.parse(lanes, lens)
+    before = tuple(np.concatenate((first, all_[:, :-1]), axis=1) for first, all_ in ((entry.state, state), (entry.inner, inner)))
+    later = rows == np.concatenate(([entry.owner], rows[:-1]))
+    extra, apart = known.joined(lanes, lens, begins, before, later)
+    entry.owner, entry.state, entry.inner = int(rows[-1]), state[:, -1:], inner[:, -1:]
+    entry.blank = bool(lanes[lens[-1] - 1, -1] == 0)
+    return begins.sum(axis=0) + extra, rows, apart
 
 
 def _decided(b: pa.RecordBatch, keep, langs: list[str], bits: np.ndarray, texts: list[str]) -> pa.RecordBatch:
