@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import forget, shared_dir  # noqa: F401  the operators take them from here
+from ..storage import stored as written
+
 #: Copies of the small side of a join whose key may be hot; the large side is dealt over them.
 SALTS = 16
 #: Bytes of text that a numpy kernel works on at a time.
@@ -22,35 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    context = spark.sparkContext
-    if not context.master.startswith("local") and not context._jsc.sc().getCheckpointDir().isDefined():
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="bandweave-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/bandweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.bandweave_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what written() stored, once nothing reads it any more."""
-    spark, path = df.sparkSession, df.bandweave_path
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def with_text(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """Only the keys and the text, so that further columns can't clash; null text is empty."""
     return df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text))
