@@ -3,9 +3,14 @@
 A SimHash of 64 bits within 4 bits misses most pairs of similarity 0.8. So each
 distinct shingle set gets TABLES independent fingerprints of WIDTH one-bit
 minwise hashes, of which two sets of similarity J differ in (1 - J) / 2 of the
-bits; each is searched by the same meet-in-the-middle balls. Sets that share a
-variant are paired with the smallest and their predecessors, not all with all,
-and every pair is verified by the sets themselves before it links anything.
+bits; each is searched by the same meet-in-the-middle balls. Every pair is
+verified by the sets themselves before it links anything.
+
+Pairs are looked at in two rounds. In the first each fingerprint meets one
+near one, and sets of equal fingerprints meet one of them; in a large group of
+near copies this links nearly all. In the second, the sets that have partners
+which they did not meet meet every one of another component, so no candidate
+is left out and a group that is linked already gives no pairs.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, with_text, written
-from .simhash import BITS, SEED, near_pairs, shingle_hashes
+from .common import components, forget, mix, with_text, written
+from .meeting import between, nearest
+from .simhash import BITS, SEED, shingle_hashes
 
 TABLES, WIDTH = 4, 40
 #: Pairs of one set that are verified at one place.
@@ -96,22 +102,34 @@ def _similar(least: float):
     return run
 
 
-def candidates(items: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of keys, a < b: pairs whose fingerprints of one table differ in at most radius bits.
+def first_pairs(items: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(a, b) of keys, a < b, to verify first, (table, fp, key, size) of sets that have partners beside those, tables to forget.
 
-    Sets of one fingerprint are each paired with one of them, another in each
-    table, and that one stands for them where fingerprints are paired.
+    A fingerprint's lead, another set of it in each table, meets the sets of
+    the same fingerprint and the lead of one near fingerprint.
     """
-    found = []
+    found, crowded, made = [], [], []
     for k in range(TABLES):
-        mine = items.select(F.col(f"fp{k}").alias("fp"), "key")
-        first = mine.groupBy("fp").agg(F.min_by("key", F.xxhash64("key", F.lit(k))).alias("lead"))
-        found.append(mine.join(first, "fp").select(F.col("key").alias("a"), F.col("lead").alias("b")))
-        pairs = near_pairs(first, radius, WIDTH)
-        ends = first.select(F.col("fp").alias("b"), F.col("lead").alias("other"))
-        found.append(pairs.join(first.withColumnRenamed("fp", "a"), "a").join(ends, "b").select(F.col("lead").alias("a"), F.col("other").alias("b")))
+        mine = items.select(F.col(f"fp{k}").alias("fp"), "key", "size")
+        leads = mine.groupBy("fp").agg(F.min_by("key", F.xxhash64("key", F.lit(k))).alias("lead"), F.count("*").alias("n"))
+        leads = written(leads, "leads")
+        near = written(nearest(leads.select("fp"), radius, WIDTH), "nearest")
+        made += [leads, near]
+        other = leads.select(F.col("fp").alias("partner"), F.col("lead").alias("b"), F.col("n").alias("nb"))
+        met = near.join(leads, "fp").join(other, "partner")
+        found.append(met.select(F.col("lead").alias("a"), "b"))
+        found.append(mine.join(leads.where("n > 1"), "fp").select(F.col("key").alias("a"), F.col("lead").alias("b")))
+        rest = met.where("more OR n > 1 OR nb > 1").select("fp").union(leads.where("n > 2").select("fp")).distinct()
+        crowded.append(mine.join(rest, "fp", "left_semi").select(F.lit(k).alias("table"), "fp", "key", "size"))
     every = reduce(DataFrame.unionByName, found).where("a <> b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, reduce(DataFrame.unionByName, crowded), made
+
+
+def other_pairs(crowded: DataFrame, radius: int, least: float) -> DataFrame:
+    """(a, b) of keys, a < b: all pairs of (table, fp, key, component, size) within radius bits in a table, of different components."""
+    found = [between(crowded.where(F.col("table") == k).drop("table"), radius, WIDTH, least) for k in range(TABLES)]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _dealt(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
@@ -126,6 +144,11 @@ def _dealt(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
     return salted.join(spread, [end, "salt"]).drop("salt")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    whole = _dealt(_dealt(pairs, sets, "a"), sets, "b").select("a", "b", "sa", "sb")
+    return whole.mapInArrow(_similar(least), "a bigint, b bigint").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
     """(doc_id, component_id) of every row with an id: the smallest id reachable over pairs of similarity least or more.
 
@@ -137,11 +160,13 @@ def similar_groups(docs: DataFrame, shingle: int, radius: int, least: float) ->
     rows = written(texts.mapInArrow(_sketches(shingle), f"doc_id bigint, key bigint, size bigint, {kinds}"), "sketches")
     every = [F.first(c).alias(c) for c in ("size", *(f"fp{k}" for k in range(TABLES)))]
     items = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc"), *every), "sets")
+    pairs, crowded, made = first_pairs(items.where("size > 0"), radius)
     sizes = items.select("key", "size")
-    pairs = candidates(items.where("size > 0"), radius)
-    pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    pairs = written(pairs.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b"), "pairs")
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("key")
+    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    pairs = written(sized.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b"), "pairs")
+    crowded = written(crowded, "crowds")
+    forget(*made)
+    ends = pairs.select("a").union(pairs.select("b")).union(crowded.select("key")).distinct().toDF("key")
     wanted = items.join(ends, "key", "left_semi").select(F.col("doc").alias("doc_id"), "key")
     sets = written(
         texts.join(rows.select("doc_id", "key").join(wanted, ["doc_id", "key"], "left_semi").distinct(), "doc_id").mapInArrow(
@@ -149,8 +174,15 @@ def similar_groups(docs: DataFrame, shingle: int, radius: int, least: float) ->
         ),
         "shingles",
     )
-    whole = _dealt(_dealt(pairs, sets, "a"), sets, "b").select("a", "b", "sa", "sb")
-    similar = written(whole.mapInArrow(_similar(least), "a bigint, b bigint"), "similar").distinct()
+    similar = written(_verified(pairs, sets, least), "similar")
+    groups = components(similar)
+    apart = written(
+        crowded.join(groups, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node"),
+        "crowds",
+    )
+    more = written(other_pairs(apart, radius, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    similar = similar.union(written(_verified(more, sets, least), "similar"))
+    forget(crowded, apart, pairs, more, sets)
     name = items.select("key", "doc")
     linked = similar.join(name.toDF("a", "da"), "a").join(name.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     own = rows.select("doc_id", "key").distinct().join(name, "key")

@@ -6,6 +6,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 
 from bandweave.llm import jaccard
 from bandweave.llm.common import table
@@ -71,3 +72,43 @@ def test_equal_empty_and_repeated_rows(spark):
     rows = [(1, None), (2, " \n"), (5, "A b c"), (4, "a  B c"), (4, "a  B c"), (6, "a b d"), (None, "a b c")]
     got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 0.8)
     assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (5, 4), (4, 4), (6, 6)}
+
+
+def crowd(texts=900, seed=5):
+    """Copies of one text with a few words replaced: most pairs lie a little below similarity 0.8, many above."""
+    rng = random.Random(seed)
+    base, out = rng.choices(WORDS, k=260), []
+    for _ in range(texts):
+        changed = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(2, 8)):
+            changed[at] = rng.choice(WORDS)
+        out.append(" ".join(changed))
+    return out
+
+
+def test_no_pair_within_the_radius_is_lost_in_a_crowd(spark):
+    texts = crowd()
+    found = [jaccard.shingle_set(t, 5) for t in texts]
+    fps = np.array([jaccard.minwise(f) for f in found])
+    as_sets = [set(f.tolist()) for f in found]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    candidates = links = 0
+    for b in range(len(texts)):
+        near = np.flatnonzero((np.bitwise_count(fps[:b] ^ fps[b]) <= corpus_pipeline.RADIUS).any(axis=1))
+        candidates += len(near)
+        for a in near.tolist():
+            if len(as_sets[a] & as_sets[b]) >= 0.8 * len(as_sets[a] | as_sets[b]):
+                links += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    print(candidates, links, sum(find(i) == i for i in range(len(texts))))
+    assert candidates > 2 * links > 2000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.similar_groups(docs, corpus_pipeline.SHINGLE, corpus_pipeline.RADIUS, 0.8).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, find(i)) for i in range(len(texts))]
