@@ -102,34 +102,40 @@ def _similar(least: float):
     return run
 
 
-def first_pairs(items: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(a, b) of keys, a < b, to verify first, (table, fp, key, size) of sets that have partners beside those, tables to forget.
+def first_pairs(items: DataFrame, radius: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of keys, a < b, to verify first, and (table, fp, key, size) of the sets that have partners beside those.
 
     A fingerprint's lead, another set of it in each table, meets the sets of
-    the same fingerprint and the lead of one near fingerprint.
+    the same fingerprint and the lead of one near fingerprint. Pairs whose
+    sizes exclude a similarity of least are left out.
     """
-    found, crowded, made = [], [], []
-    for k in range(TABLES):
+    found, crowded, fits = [], [], F.least("na", "nb") >= least * F.greatest("na", "nb")
+    for k in range(TABLES):  # each table's are written, so that plans stay small and few tasks run beside each other
         mine = items.select(F.col(f"fp{k}").alias("fp"), "key", "size")
-        leads = mine.groupBy("fp").agg(F.min_by("key", F.xxhash64("key", F.lit(k))).alias("lead"), F.count("*").alias("n"))
-        leads = written(leads, "leads")
-        near = written(nearest(leads.select("fp"), radius, WIDTH), "nearest")
-        made += [leads, near]
-        other = leads.select(F.col("fp").alias("partner"), F.col("lead").alias("b"), F.col("n").alias("nb"))
-        met = near.join(leads, "fp").join(other, "partner")
-        found.append(met.select(F.col("lead").alias("a"), "b"))
-        found.append(mine.join(leads.where("n > 1"), "fp").select(F.col("key").alias("a"), F.col("lead").alias("b")))
-        rest = met.where("more OR n > 1 OR nb > 1").select("fp").union(leads.where("n > 2").select("fp")).distinct()
-        crowded.append(mine.join(rest, "fp", "left_semi").select(F.lit(k).alias("table"), "fp", "key", "size"))
-    every = reduce(DataFrame.unionByName, found).where("a <> b")
-    pairs = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, reduce(DataFrame.unionByName, crowded), made
+        turn = F.xxhash64("key", F.lit(k))  # one to one, so the two are of one set
+        lead = [F.min_by("key", turn).alias("a"), F.min_by("size", turn).alias("na"), F.count("*").alias("sets")]
+        leads = written(mine.groupBy("fp").agg(*lead), "leads")
+        near = nearest(leads.select("fp"), radius, WIDTH)
+        met = near.join(leads, "fp").join(leads.toDF("partner", "b", "nb", "others"), "partner")
+        met = written(met, "met")
+        same = mine.join(leads.where("sets > 1"), "fp").select("a", "na", F.col("key").alias("b"), F.col("size").alias("nb"))
+        pairs = met.select("a", "na", "b", "nb").union(same).where((F.col("a") != F.col("b")) & fits)
+        found.append(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+        rest = met.where("more OR sets > 1 OR others > 1").select("fp").union(leads.where("sets > 2").select("fp")).distinct()
+        crowded.append(written(mine.join(rest, "fp", "left_semi").select(F.lit(k).alias("table"), "fp", "key", "size"), "crowds"))
+        forget(leads, met)
+    pairs = written(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    every = written(reduce(DataFrame.unionByName, crowded), "crowds")
+    forget(*found, *crowded)
+    return pairs, every
 
 
 def other_pairs(crowded: DataFrame, radius: int, least: float) -> DataFrame:
     """(a, b) of keys, a < b: all pairs of (table, fp, key, component, size) within radius bits in a table, of different components."""
-    found = [between(crowded.where(F.col("table") == k).drop("table"), radius, WIDTH, least) for k in range(TABLES)]
-    return reduce(DataFrame.unionByName, found).distinct()
+    found = [written(between(crowded.where(F.col("table") == k).drop("table"), radius, WIDTH, least), "pairs") for k in range(TABLES)]
+    every = written(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    forget(*found)
+    return every
 
 
 def _dealt(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
@@ -160,12 +166,7 @@ def similar_groups(docs: DataFrame, shingle: int, radius: int, least: float) ->
     rows = written(texts.mapInArrow(_sketches(shingle), f"doc_id bigint, key bigint, size bigint, {kinds}"), "sketches")
     every = [F.first(c).alias(c) for c in ("size", *(f"fp{k}" for k in range(TABLES)))]
     items = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc"), *every), "sets")
-    pairs, crowded, made = first_pairs(items.where("size > 0"), radius)
-    sizes = items.select("key", "size")
-    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    pairs = written(sized.where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b"), "pairs")
-    crowded = written(crowded, "crowds")
-    forget(*made)
+    pairs, crowded = first_pairs(items.where("size > 0"), radius, least)
     ends = pairs.select("a").union(pairs.select("b")).union(crowded.select("key")).distinct().toDF("key")
     wanted = items.join(ends, "key", "left_semi").select(F.col("doc").alias("doc_id"), "key")
     sets = written(
@@ -180,8 +181,8 @@ def similar_groups(docs: DataFrame, shingle: int, radius: int, least: float) ->
         crowded.join(groups, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node"),
         "crowds",
     )
-    more = written(other_pairs(apart, radius, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    similar = similar.union(written(_verified(more, sets, least), "similar"))
+    more = other_pairs(apart, radius, least)
+    similar = similar.union(written(_verified(more.join(pairs, ["a", "b"], "left_anti"), sets, least), "similar"))
     forget(crowded, apart, pairs, more, sets)
     name = items.select("key", "doc")
     linked = similar.join(name.toDF("a", "da"), "a").join(name.toDF("b", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import BITS, SORTED, _masks, prefix_bits
+from .simhash import BITS, _masks, prefix_bits
 
+#: Variants that are sorted at once, and pairs that are held before they are reduced or handed on.
+SORTED, HELD = 1 << 19, 1 << 17
 #: A prefix with more variants than this many times SORTED is divided by further bits.
-DIVIDED = 8
+DIVIDED = 16
 
 
 class Runs:
@@ -120,7 +122,7 @@ def nearest(fps: DataFrame, radius: int, width: int) -> DataFrame:
     bits = prefix_bits(fps.count(), half)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, found, kept = Runs(half), [], 0
+        runs, found, kept, limit = Runs(half), [], 0, HELD
         for prefix, (mine,) in _groups(batches, ["fp"]):
             values, left = _starts(mine, prefix, half, bits, width)
             for rows, place in runs.find(values, left, np.arange(len(mine)), width - bits):
@@ -133,9 +135,10 @@ def nearest(fps: DataFrame, radius: int, width: int) -> DataFrame:
                 both = np.concatenate((mine[a], mine[b])), np.tile(away, 2), np.concatenate((mine[b], mine[a])), np.tile(crowd, 2)
                 found.append(_reduced(*both))
                 kept += len(found[-1][0])
-                if kept > SORTED:
+                if kept > limit:
                     found = [_reduced(*map(np.concatenate, zip(*found, strict=True)))]
-                    kept = len(found[0][0]) // 2  # what can't be reduced isn't tried again at once
+                    kept = len(found[0][0])
+                    limit = max(HELD, 2 * kept)  # what can't be reduced isn't tried again at once
         if found:
             fp, _, partner, more = _reduced(*map(np.concatenate, zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(partner), pa.array(more)], names=["fp", "partner", "more"])
@@ -155,7 +158,7 @@ def _ragged(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _across(rows: np.ndarray, place: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one run and different components, about SORTED at a time."""
+    """Pairs of rows of one run and different components, about HELD at a time."""
     run_of = np.cumsum(place == 0) - 1
     order = np.lexsort((component[rows], run_of))
     rows, run_of, at = rows[order], run_of[order], np.arange(len(rows))
@@ -165,7 +168,7 @@ def _across(rows: np.ndarray, place: np.ndarray, component: np.ndarray) -> Itera
     sizes = np.maximum.accumulate(np.where(new_group, at, 0)) - low
     take = np.flatnonzero(sizes)
     low, sizes, mine = low[take], sizes[take], rows[take]
-    blocks = np.cumsum(sizes) // SORTED
+    blocks = np.cumsum(sizes) // HELD
     for part in np.split(np.arange(len(take)), np.flatnonzero(np.diff(blocks)) + 1):
         yield rows[_ragged(low[part], sizes[part])], np.repeat(mine[part], sizes[part])
 
@@ -189,7 +192,7 @@ def between(rows: DataFrame, radius: int, width: int, least: float) -> DataFrame
                     fits = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
                     a, b = keys[a[fits]], keys[b[fits]]
                     found = np.unique(np.concatenate((found, np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))), axis=0)
-                    if len(found) > SORTED:
+                    if len(found) > HELD:
                         yield _pairs(found)
                         found = found[:0]
             yield _pairs(found)
