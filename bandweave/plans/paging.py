@@ -209,9 +209,11 @@ def ret06(spark, d):
     SELECT * FROM r WHERE capability_id = (SELECT min(capability_id) FROM r)
 """)
 def qry14_context(spark, d):
-    """What would be searched for one gap: its modules and its strongest terms."""
+    """What would be searched for one gap: its modules and its strongest terms. Tables that leave no gap give no row."""
     found = _contexts(spark, d)
-    return pages.gap_context(found, found.agg(F.min("capability_id")).first()[0]).withColumn("modules", F.array_join("modules", ","))
+    first = found.agg(F.min("capability_id")).first()[0]
+    one = found if first is None else pages.gap_context(found, first)
+    return one.withColumn("modules", F.array_join("modules", ","))
 
 
 @plan("qry14_retrieve", f"""
