@@ -48,19 +48,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def closure(nodes: DataFrame, depth: int = 100) -> DataFrame:
     """(ancestor, node, hops): each node below each start, itself included.
 
-    nodes has node, parent and is_start. It ends when no node has children left; a
-    tree of more levels than depth, or one with a cycle, raises.
+    nodes has node, parent and is_start. A level is a table of its own, made from
+    the one above; it ends when no node has children left. A tree of more levels
+    than depth, or one with a cycle, raises ValueError.
     """
-    spark, name = nodes.sparkSession, f"tree_{uuid.uuid4().hex}"
-    nodes.select("node", "parent", "is_start").createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE t(ancestor, node, hops) MAX RECURSION LEVEL {depth + 1} AS (
-            SELECT node, node, 0 FROM {name} WHERE is_start
-            UNION ALL
-            SELECT t.ancestor, n.node, t.hops + 1 FROM t JOIN {name} n ON n.parent = t.node
-        )
-        SELECT ancestor, node, min(hops) AS hops FROM t GROUP BY ancestor, node
-    """)
+    below = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("_at"), F.col("node").alias("_next"))
+    level = stored(nodes.where("is_start").select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("hops")), "closure")
+    found = level
+    for hops in range(1, depth + 2):
+        step = level.join(below, F.col("node") == F.col("_at"))
+        level = stored(step.select("ancestor", F.col("_next").alias("node"), F.lit(hops).alias("hops")).distinct(), "closure")
+        if level.isEmpty():
+            forget(level)
+            return found.groupBy("ancestor", "node").agg(F.min("hops").alias("hops"))
+        found = found.union(level)
+    raise ValueError(f"a tree of more than {depth} levels, or one with a cycle")
 
 
 def exposure(origins: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
