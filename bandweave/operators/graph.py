@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,19 +107,20 @@ def blast_radius(start, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ancestors(pages: DataFrame, depth: int = 10) -> DataFrame:
     """(page, hops, title): titles up the chain of parents, nearest first, at most depth; a cycle ends it."""
-    spark, name = pages.sparkSession, f"pages_{uuid.uuid4().hex}"
-    pages.select("page", "parent", "title").createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE t(page, at, hops, path) AS (
-            SELECT page, parent, 1, array(page) FROM {name} WHERE parent IS NOT NULL
-            UNION ALL
-            SELECT t.page, p.parent, t.hops + 1, array_append(t.path, p.page)
-            FROM t JOIN {name} p ON p.page = t.at
-            WHERE t.hops < {depth} AND p.parent IS NOT NULL AND NOT array_contains(t.path, p.page)
-        )
-        SELECT t.page, t.hops, p.title FROM t JOIN {name} p ON p.page = t.at
-        WHERE NOT array_contains(t.path, t.at)
-    """)
+    above = pages.select(F.col("page").alias("_page"), F.col("parent").alias("_parent"))
+    path = F.array("page").alias("path")
+    level = stored(pages.where("parent IS NOT NULL").select("page", F.col("parent").alias("at"), F.lit(1).alias("hops"), path), "ancestors")
+    found = level
+    for hops in range(2, depth + 1):
+        step = level.join(above.where("_parent IS NOT NULL"), F.col("at") == F.col("_page")).where("NOT array_contains(path, _page)")
+        path = F.array_append("path", F.col("_page")).alias("path")
+        level = stored(step.select("page", F.col("_parent").alias("at"), F.lit(hops).alias("hops"), path), "ancestors")
+        if level.isEmpty():
+            forget(level)
+            break
+        found = found.union(level)
+    titled = pages.select(F.col("page").alias("_page"), "title")
+    return found.join(titled, F.col("at") == F.col("_page")).where("NOT array_contains(path, at)").select("page", "hops", "title")
 
 
 def cycle_violations(tree: DataFrame) -> DataFrame:

@@ -21,6 +21,12 @@ def test_closure_of_over_a_million_rows(spark):
     assert {(r.hops, r["count"]) for r in found.groupBy("hops").count().collect()} == {(0, 1), (1, ROWS)}
 
 
+def test_ancestors_of_over_a_million_pages(spark):
+    pages = _wide(spark).select(F.col("node").alias("page"), "parent", F.concat(F.lit("T"), "node").alias("title"))
+    found = graph.ancestors(pages).groupBy("hops", "title").count().collect()
+    assert [tuple(r) for r in found] == [(1, "T0", ROWS)]
+
+
 def test_closure_takes_the_shortest_way_and_raises_on_cycles(spark):
     rows = [("a", None, True), ("b", "a", False), ("c", "b", False), ("c", "a", False), ("d", "c", True)]
     found = graph.closure(spark.createDataFrame(rows, "node string, parent string, is_start boolean"), depth=3)
@@ -29,3 +35,10 @@ def test_closure_takes_the_shortest_way_and_raises_on_cycles(spark):
     with pytest.raises(ValueError):
         graph.closure(loop, depth=4)
     assert graph.closure(loop.where("false")).count() == 0
+
+
+def test_ancestors_end_at_a_cycle_and_at_the_depth(spark):
+    rows = [("a", "b", "A"), ("b", "a", "B"), ("c", "a", "C"), ("x", "gone", "X")]
+    pages = spark.createDataFrame(rows, "page string, parent string, title string")
+    assert {tuple(r) for r in graph.ancestors(pages).collect()} == {("a", 1, "B"), ("b", 1, "A"), ("c", 1, "A"), ("c", 2, "B")}
+    assert {tuple(r) for r in graph.ancestors(pages, 1).collect()} == {("a", 1, "B"), ("b", 1, "A"), ("c", 1, "A")}
