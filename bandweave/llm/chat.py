@@ -9,10 +9,10 @@ offset, then comes piece.
 
 A null text or role is an empty one; rows of a null id are one conversation; turns
 of equal number are ordered by role and text, and repeated rows are turns of their
-own; a conversation is read turn by turn, so that its length and that of its texts
-only cost time, and the template sees the last `context` turns (None: all, which
-costs the square of a conversation's turns); further columns are left behind;
-empty tables give empty results.
+own; the template sees all turns before, so that what it does to any earlier one is
+seen: a conversation stands in one task's memory, and rendering it costs the square
+of its turns (a caller whose template looks back on a few turns only can say so by
+`context`); further columns are left behind; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ COLUMNS = ("conv_id", "place", "role", "piece", "offset", "start", "end", "in_lo
 SCHEMA = "conv_id long, place long, role string, piece string, offset long, start long, end long, in_loss boolean, rewrites boolean, located boolean"
 #: Rows that are handed on at a time, and their code points.
 OUT_ROWS, OUT_CHARS = 2000, 1 << 22
+#: Texts of up to so many code points are escaped once for many renderings; so many of them are kept.
+KEPT_CHARS, KEPT_TEXTS = 4096, 4096
 
 # The template of instructions. Its marks, each of which is broken up where a text holds it.
 BEGIN, END = "<s>", "</s>"
@@ -45,6 +48,13 @@ def escaped(text: str) -> str:
     return CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
 
 
+_escaped_once = lru_cache(KEPT_TEXTS)(escaped)
+
+
+def _escaped(text: str) -> str:
+    return _escaped_once(text) if len(text) <= KEPT_CHARS else escaped(text)
+
+
 def unescaped(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
@@ -55,10 +65,10 @@ def instruct(turns: Sequence[Turn]) -> str:
     for role, text in turns:
         if role in FRAMES:
             before, after = FRAMES[role]
-            out += (before, escaped(text), after)
+            out += (before, _escaped(text), after)
         else:
             before, behind, after = OTHER_ROLE
-            out += (before, escaped(role).replace("]", "\\]"), behind, escaped(text), after)
+            out += (before, escaped(role).replace("]", "\\]"), behind, _escaped(text), after)
     return "".join(out)
 
 
@@ -143,7 +153,7 @@ _ARROW = pa.schema(
 )
 
 
-def format_conversations(turns: DataFrame, render: Template = instruct, context: int | None = 2, loss: tuple[str, ...] = ("assistant",), restore: Callable[[str], str] = unescaped) -> DataFrame:
+def format_conversations(turns: DataFrame, render: Template = instruct, context: int | None = None, loss: tuple[str, ...] = ("assistant",), restore: Callable[[str], str] = unescaped) -> DataFrame:
     """(conv_id, place, role, piece, offset, start, end, in_loss, rewrites, located), one row a turn.
 
     A conversation's output is that of applied() to its rows by place, which
@@ -153,8 +163,8 @@ def format_conversations(turns: DataFrame, render: Template = instruct, context:
     text again once restore undoes the template's escapes, which fails for
     templates that trim, change or repeat it.
 
-    context is how many turns a template looks back on; what it does to earlier
-    ones is seen with None only.
+    context is how many turns a template looks back on, None for all; what it does
+    to earlier ones is seen with None only.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", empty("role"), empty("text"))

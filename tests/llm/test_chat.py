@@ -103,3 +103,14 @@ def test_whole_and_short_context_agree(spark, data):
     df = spark.read.parquet(f"{data}/conversations.parquet")
     whole, short = (sorted(map(tuple, chat.format_conversations(df, context=c).collect())) for c in (None, 2))
     assert whole == short
+
+
+def test_a_rewrite_far_back_is_seen(spark):
+    """A template that drops the first turn once five follow it: by the last two turns alone it looks harmless."""
+
+    def dropping(turns):
+        return chat.instruct(turns[1:] if len(turns) > 5 else turns)
+
+    rows = [(1, k, ("user", "assistant")[k % 2], f"text {k}") for k in range(8)]
+    found = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), dropping)
+    assert [r.rewrites for r in found.orderBy("place").collect()] == [False] * 5 + [True, False, False]
