@@ -156,11 +156,11 @@ def evidence_records(events: DataFrame, modules: DataFrame, known: DataFrame | N
     keys = ["employee_id", "capability_id", "module_id", "source", "source_ref"]
     ids = F.col("capability_ids")
     ids = F.when(F.size(ids) > 0, ids).otherwise(F.array(F.lit(fallback))) if fallback else ids
-    rows = events.join(modules.select("module_id", F.explode(ids).alias("capability_id")), "module_id")
-    rows = rows.select(
-        "employee_id", "capability_id", "module_id", "source", F.col("source_record_id").alias("source_ref"),
-        weight(F.col("provenance_type")).alias("score"), "timestamp",
-    ).dropDuplicates(keys)
+    once = events.select(
+        "employee_id", "module_id", "source", F.col("source_record_id").alias("source_ref"), weight(F.col("provenance_type")).alias("score"), "timestamp",
+    ).dropDuplicates([k for k in keys if k != "capability_id"])  # before the capabilities multiply the rows
+    rows = once.join(modules.select("module_id", F.explode(ids).alias("capability_id")).distinct(), "module_id")
+    rows = rows.select("employee_id", "capability_id", "module_id", "source", "source_ref", "score", "timestamp")
     if known is not None:
         rows = rows.join(known.select(*keys), keys, "left_anti")
     return rows.withColumn("evidence_id", text.evidence_id(*(F.col(k) for k in keys)))
