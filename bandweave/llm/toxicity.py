@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_long, pieces, text_buffers, with_text, word_hashes
+from .common import SLICE_BYTES, cut_long, pieces, text_buffers, text_slices, with_text, word_hashes
 
 BUCKETS = 1 << 18
 #: The classifier is fitted on a uniform sample of so many labelled documents at most, those of the smallest hashes of ids.
@@ -72,7 +72,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
     """
     cuts, owners = cut_long(data, offsets)
     before, end = -1, 0
-    for a, z in pieces(cuts):
+    for a, z in pieces(cuts, SLICE_BYTES // 4):  # hashing takes some eighty bytes for each
         part = cuts[a : z + 1]
         words, starts, rows, low, high = sentence_words(data[part[0] : part[-1]], part - part[0])
         if len(starts):
@@ -85,7 +85,7 @@ def _bags(docs: DataFrame, label: str) -> DataFrame:
     """(label, words, starts): buckets and sentence starts of each document as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in text_slices(batch)):
             data, offsets = text_buffers(b.column("text"))
             words, starts, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             size, first = 0, np.zeros(b.num_rows + 1, np.int64)  # words before each document
@@ -196,14 +196,15 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     Every row gets a score, empty and null texts the leak's. Texts of any length
     are scored whole, sentences that lie across a slice's end too (only a word of
     over half a MiB is cut). Repeated rows and null ids stay; further columns
-    don't matter; an empty table gives an empty result.
+    don't matter; an empty table gives an empty result. Where keep has the text,
+    it goes through the tasks once and comes back as it was, null or not.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
-        for b in batches:
-            data, offsets = text_buffers(b.column("text"))
+        for b in (part for batch in batches for part in text_slices(batch)):
+            data, offsets = text_buffers(b.column("text").fill_null(""))
             clear, bad = np.full(b.num_rows, np.log1p(-known.leak)), [[] for _ in range(b.num_rows)]
             held = [np.zeros((4, 0))]  # row, start, end and summed weights of the sentences
             for words, starts, rows, low, high, goes_on in _parts(data, offsets):
@@ -231,7 +232,7 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
                 names=[*keep, "score", "predicted", "offending"],
             )
 
-    texts = with_text(docs, *keep)
+    texts = docs.select(*keep) if "text" in keep else with_text(docs, *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in keep)
     return texts.mapInArrow(run, f"{kinds}, score double, predicted int, offending string")
 
