@@ -49,9 +49,11 @@ def merge_sources(keys: DataFrame, code: str = "github") -> DataFrame:
 
     keys has leaf, source, key. The smallest code leaf that shares a key of its
     own claims a leaf; service keys (SVC:) count only for what none has claimed.
-    A code leaf that gets any is its own parent's first child.
+    A code leaf that gets any is its own parent's first child. Each key knows its
+    smallest code leaf before leaves meet it, so a key of many leaves on both
+    sides gives a row a leaf.
     """
-    anchors = keys.where(F.col("source") == code).select(F.col("leaf").alias("parent"), "key").distinct()
+    anchors = keys.where(F.col("source") == code).groupBy("key").agg(F.min("leaf").alias("parent"))
     others = keys.where(F.col("source") != code).select("leaf", "key").distinct()
     claim = lambda rows: rows.join(anchors, "key").groupBy("leaf").agg(F.min("parent").alias("parent"))
     sharp = claim(others.where(~F.col("key").startswith("SVC:")))
