@@ -29,6 +29,8 @@ INCIDENT = """
     postmortem struct<author:struct<id:string>>,
     log_entries array<struct<type:string,agent:struct<id:string,type:string>,assignees:array<struct<id:string,type:string>>>>
 """
+_SHAPE = "assignee string, reporter string, issuetype string, status string, summary string, description string"
+TICKET = f"key string, id string, {_SHAPE}, fields struct<{_SHAPE}>, payload struct<key string, id string, {_SHAPE}, fields struct<{_SHAPE}>>"
 
 
 def _clean(c: Column) -> Column:
@@ -194,22 +196,38 @@ def health(rows: DataFrame) -> DataFrame:
     return rows.where("employee_id IS NULL").groupBy("actor").agg(state.alias("state"), F.count("*").alias("n"))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once a row: an alias would be put in place of each of its uses."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _object(value: Column, *names: str) -> Column:
+    """Text fields of a JSON object, read once; text that is none is never parsed."""
+    bare = F.ltrim(value, F.lit(" \t\r\n"))
+    return F.from_json(F.when(bare.startswith("{"), bare), ", ".join(f"{n} string" for n in names))
+
+
 def user_name(value: Column) -> Column:
     """A user given as text or as an object: display name, name, address, account, id; the first that isn't blank."""
-    paths = ("displayName", "name", "emailAddress", "accountId", "id")
-    return F.coalesce(*(_clean(F.get_json_object(value, f"$.{p}")) for p in paths), F.when(~F.coalesce(value, F.lit("")).startswith("{"), _clean(value)))
+    names = ("displayName", "name", "emailAddress", "accountId", "id")
+    named = _once(_object(value, *names), lambda user: F.coalesce(*(_clean(user[n]) for n in names)))
+    return F.coalesce(named, F.when(~F.coalesce(value, F.lit("")).startswith("{"), _clean(value)))
 
 
 def ticket_fields(payload: Column) -> Column:
-    """One shape for tickets that come flat, with fields, or wrapped in a payload."""
-    at = lambda *paths: F.coalesce(*(_clean(F.get_json_object(payload, p)) for p in paths))
-    both = lambda name: (f"$.{name}", f"$.fields.{name}", f"$.payload.{name}", f"$.payload.fields.{name}")
-    who = lambda name: F.coalesce(*(user_name(F.get_json_object(payload, p)) for p in both(name)))
-    named = lambda name: at(*(f"{p}.name" for p in both(name)), *both(name))
+    """One shape for tickets that come flat, with fields, or wrapped in a payload; a payload is read once."""
+    return _once(F.from_json(payload, TICKET), _ticket_fields)
+
+
+def _ticket_fields(p: Column) -> Column:
+    at = lambda *values: F.coalesce(*(_clean(v) for v in values))
+    both = lambda name: (p[name], p["fields"][name], p["payload"][name], p["payload"]["fields"][name])
+    who = lambda name: F.coalesce(*(user_name(v) for v in both(name)))
+    named = lambda name: at(*(_object(v, "name")["name"] for v in both(name)), *both(name))
     said = at(*both("description"))
     assigned = F.coalesce(who("assignee"), _clean(F.regexp_extract(said, r"Assigned to ([^.\n]+)", 1)))
     return F.struct(
-        at("$.key", "$.payload.key", "$.id", "$.payload.id").alias("id"), assigned.alias("assignee"), who("reporter").alias("reporter"),
+        at(p["key"], p["payload"]["key"], p["id"], p["payload"]["id"]).alias("id"), assigned.alias("assignee"), who("reporter").alias("reporter"),
         named("issuetype").alias("type"), named("status").alias("status"), at(*both("summary")).alias("summary"),
     )
 
