@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..storage import delete
 
 POINTER = "CURRENT"
+#: Text repeats its field names in every row; readers take the codec from the files' names.
+TEXT_OPTIONS = {"json": {"compression": "gzip"}}
 
 
 def _path(spark: SparkSession, path: str):
@@ -65,7 +67,7 @@ def replace(df: DataFrame, path: str, kind: str = "parquet", expected: int | Non
     before = current(spark, path)
     target = f"{path}/{version}"
     try:
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.format(kind).save(target)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.format(kind).options(**TEXT_OPTIONS.get(kind, {})).save(target)
         n = seen.get["n"]
         if expected is not None and n != expected:
             raise ValueError(f"{n} rows of {expected}")
