@@ -9,6 +9,9 @@ from ..functions import measures
 from ..storage import stored
 from . import graph
 
+#: Tasks over which the signatures of one token are dealt, where they meet all others of the token.
+SALTS = 8
+
 
 def similar_signatures(items: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of distinct signatures of one source whose Jaccard similarity reaches the threshold.
@@ -16,7 +19,9 @@ def similar_signatures(items: DataFrame, threshold: float) -> DataFrame:
     items has source and signature (an array of distinct tokens). Signatures are
     collapsed first. Only the rarest tokens of each are matched (a pair that
     reaches the threshold shares one of the first size - ceil(threshold * size)
-    + 1), and each candidate is verified on its whole sets.
+    + 1), and each candidate is verified on its whole sets, where it meets: at the
+    first token that both match by, so that no pair is kept to be told from
+    another. A token's signatures are dealt over SALTS tasks.
     """
     sigs = (
         items.select("source", F.array_sort(F.array_distinct("signature")).alias("sig"))
@@ -24,28 +29,25 @@ def similar_signatures(items: DataFrame, threshold: float) -> DataFrame:
         .distinct()
         .withColumn("sig_id", F.sha2(F.concat_ws("\x1f", "source", F.array_join("sig", "\x1f")), 256))
     )
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few rows that become many pairs aren't put together
     rare = sigs.select("source", F.explode("sig").alias("token")).groupBy("source", "token").count()
-    ranked = sigs.select("source", "sig_id", F.size("sig").alias("n"), F.explode("sig").alias("token")).join(
-        rare, ["source", "token"]
-    )
-    place = F.row_number().over(Window.partitionBy("source", "sig_id").orderBy("count", "token"))
-    prefix = (
-        ranked.withColumn("place", place)
-        .where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-        .select("source", "token", "sig_id", "n")
-    )
-    other = prefix.select("source", "token", F.col("sig_id").alias("b_id"), F.col("n").alias("m"))
-    pairs = (
-        prefix.join(other, ["source", "token"])
-        .where((F.col("sig_id") < F.col("b_id")) & (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")))
-        .select(F.col("sig_id").alias("a_id"), "b_id")
-        .distinct()
-    )
-    left = sigs.select(F.col("sig_id").alias("a_id"), F.col("sig").alias("a"))
-    right = sigs.select(F.col("sig_id").alias("b_id"), F.col("sig").alias("b"))
-    scored = pairs.join(left, "a_id").join(right, "b_id")
-    return scored.withColumn("similarity", measures.jaccard(F.col("a"), F.col("b"))).where(
-        F.col("similarity") >= threshold
+    ranked = sigs.select("source", "sig_id", "sig", F.explode("sig").alias("token")).join(rare, ["source", "token"])
+    ordered = ranked.groupBy("source", "sig_id", "sig").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("_order"))
+    n = F.size("sig")
+    first = F.transform(F.slice("_order", F.lit(1), (n - F.ceil(F.lit(threshold) * n) + 1).cast("int")), lambda o: o["token"])
+    prefix = ordered.withColumn("keys", first).select("source", "sig_id", "sig", "keys", F.explode("keys").alias("token"))
+    left = prefix.select("source", "token", F.col("sig_id").alias("a_id"), F.col("sig").alias("a"), F.col("keys").alias("a_keys"))
+    left = left.withColumn("salt", F.pmod(F.xxhash64("a_id"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    right = prefix.select("source", "token", F.col("sig_id").alias("b_id"), F.col("sig").alias("b"), F.col("keys").alias("b_keys"), salts)
+    at = ["source", "token", "salt"]
+    met = left.repartition(tasks, *at).join(right.repartition(tasks, *at).hint("shuffle_hash"), at)
+    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
+    once = F.array_intersect("a_keys", "b_keys")[0] == F.col("token")
+    pairs = met.where((F.col("a_id") < F.col("b_id")) & (small >= F.lit(threshold) * large) & once)
+    return (
+        pairs.select("a_id", "b_id", "a", "b", measures.jaccard(F.col("a"), F.col("b")).alias("similarity"))
+        .where(F.col("similarity") >= threshold)
     )
 
 
