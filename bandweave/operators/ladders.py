@@ -143,41 +143,37 @@ def _paths(files: Column) -> Column:
     return text.path_tokens(_names(F.transform(files, lambda f: f["filename"])))
 
 
-def _exploded(rows: DataFrame, roles: Column, kind: Column, at: Column, tokens: Column, effort: Column, refs: Column, note: Column) -> DataFrame:
-    return rows.withColumn("_r", F.explode(roles)).select(
+def _exploded(
+    rows: DataFrame, roles: Column, kind: Column, at: Column, tokens: Column, effort: Column, refs: Column, note: Column, more: dict[str, Column] | None = None
+) -> DataFrame:
+    """A row for each role. Filters see what the roles gave alone, so that none is moved before the payload is read and reads it again."""
+    return rows.withColumn("_r", F.explode_outer(roles)).where("_r IS NOT NULL").select(
         "record_id", kind.alias("record_kind"), "_r.actor", "_r.role", "_r.rung", at.alias("occurred_at"), tokens.alias("tokens"),
-        effort.alias("effort"), refs.alias("refs"), note.alias("note"),
+        effort.alias("effort"), refs.alias("refs"), note.alias("note"), *(c.alias(name) for name, c in (more or {}).items()),
     )
 
 
-def github_rows(records: DataFrame, missing: Column | None = None) -> DataFrame:
-    """A row for each actor of a record (record_id, payload): reviews, pull requests and commits, told by their shape.
+def github_rows(records: DataFrame, missing: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each actor of a record (record_id, payload): reviews, pull requests and commits, told by their shape in one pass.
 
     Commits have the lines changed as effort, 0 without; the others none. Times
-    that can't be read are missing, or null.
+    that can't be read are missing, or null. more are further columns of the payload p.
     """
     p = F.col("p")
     read = records.select("record_id", F.from_json("payload", GITHUB).alias("p"))
     review = p["_pr_number"].isNotNull() | F.coalesce(p["state"].isin("APPROVED", "COMMENTED", "CHANGES_REQUESTED"), F.lit(False))
     pull = ~review & p["number"].isNotNull() & p["commit"].isNull()
-    when = lambda c: dates.parse_timestamp(c, missing)
-    refs = lambda c: F.array_sort(F.array_distinct(text.ticket_keys(c, ("PAY", "JIRA"))))
-    none, nothing = F.lit(None).cast("double"), F.array().cast("array<string>")
-    message = F.coalesce(p["commit"]["message"], F.lit(""))
-    commits = _exploded(
-        read.where(~review & ~pull), commit_ladder(p), F.lit("commit"), when(p["commit"]["author"]["date"]), _paths(p["files"]),
-        F.coalesce(p["stats"]["total"], F.lit(0.0)), refs(message), F.substring(text.first_line(message), 1, 120),
+    of = lambda reviews, pulls, commits: F.when(review, reviews).when(pull, pulls).otherwise(commits)
+    message, title = F.coalesce(p["commit"]["message"], F.lit("")), F.coalesce(p["title"], F.lit(""))
+    said = of(F.lit(""), F.concat(title, F.lit("\n"), F.coalesce(p["body"], F.lit(""))), message)
+    about = F.concat(F.lit("review on PR #"), F.coalesce(p["_pr_number"].cast("string"), F.lit("None")))
+    return _exploded(
+        read, of(review_ladder(p), pull_ladder(p), commit_ladder(p)), F.when(review, "pr_review").otherwise("commit"),
+        dates.parse_timestamp(of(p["submitted_at"], p["created_at"], p["commit"]["author"]["date"]), missing),
+        _paths(of(p["_pr_files"], p["_files"], p["files"])), F.when(~review & ~pull, F.coalesce(p["stats"]["total"], F.lit(0.0))),
+        F.array_sort(F.array_distinct(text.ticket_keys(said, ("PAY", "JIRA")))),
+        of(about, F.substring(title, 1, 120), F.substring(text.first_line(message), 1, 120)), more,
     )
-    title = F.coalesce(p["title"], F.lit(""))
-    pulls = _exploded(
-        read.where(pull), pull_ladder(p), F.lit("commit"), when(p["created_at"]), _paths(p["_files"]), none,
-        refs(F.concat(title, F.lit("\n"), F.coalesce(p["body"], F.lit("")))), F.substring(title, 1, 120),
-    )
-    reviews = _exploded(
-        read.where(review), review_ladder(p), F.lit("pr_review"), when(p["submitted_at"]), _paths(p["_pr_files"]), none, nothing,
-        F.concat(F.lit("review on PR #"), F.coalesce(p["_pr_number"].cast("string"), F.lit("None"))),
-    )
-    return commits.unionByName(pulls).unionByName(reviews)
 
 
 def incident_rows(records: DataFrame, missing: Column | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def bad_payload(source: Column, payload: Column) -> Column:
     return fault
 
 
+def _no_commit() -> tuple[Column, Column, Column]:
+    """Message, files and number of parents of what is no commit."""
+    return F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(0)
+
+
 def _ticket_rows(records: DataFrame, missing: Column | None) -> DataFrame:
     """A row for each actor of a ticket; tokens from components, else labels, else the project."""
     p = F.from_json("payload", ladders.JIRA)
@@ -36,23 +43,25 @@ def _ticket_rows(records: DataFrame, missing: Column | None) -> DataFrame:
     parts = F.transform(F.from_json(F.get_json_object("payload", "$.fields.components"), "array<struct<name: string>>"), lambda c: c["name"])
     tokens = normalize.ticket_tokens(parts, names("$.fields.labels"), F.get_json_object("payload", "$.fields.project.key"))
     at = dates.parse_timestamp(F.coalesce(F.get_json_object("payload", "$.fields.updated"), F.get_json_object("payload", "$.fields.created")), missing)
+    resolution = F.coalesce(F.get_json_object("payload", "$.fields.resolution.name"), F.get_json_object("payload", "$.fields.resolution"))
     rows = records.withColumn("_r", F.explode(ladders.ticket_ladder(p)))
     return rows.select(
         "record_id", F.lit("ticket").alias("record_kind"), "_r.actor", "_r.role", "_r.rung", at.alias("occurred_at"),
         tokens["tokens"].alias("tokens"), F.lit(None).cast("double").alias("effort"), F.array().cast("array<string>").alias("refs"),
         F.substring(F.coalesce(F.get_json_object("payload", "$.fields.summary"), F.lit("")), 1, 120).alias("note"),
+        *(c.alias(name) for name, c in _facts(*_no_commit(), resolution).items()),
     )
 
 
-def _facts(records: DataFrame) -> DataFrame:
-    """What eligibility looks at besides the row: message, files, parents, resolution."""
-    g = F.from_json("payload", ladders.GITHUB)
-    resolution = F.coalesce(F.get_json_object("payload", "$.fields.resolution.name"), F.get_json_object("payload", "$.fields.resolution"))
-    files = F.coalesce(g["files"], g["_files"], g["_pr_files"])
-    return records.select(
-        F.col("record_id").alias("_id"), "source", g["commit"]["message"].alias("message"), F.transform(files, lambda f: f["filename"]).alias("files"),
-        F.coalesce(F.size(g["parents"]), F.lit(0)).alias("n_parents"), resolution.alias("resolution"),
-    )
+def _facts(message: Column, files: Column, n_parents: Column, resolution: Column) -> dict[str, Column]:
+    """What eligibility looks at besides the row."""
+    return {"message": message, "files": files, "n_parents": n_parents, "resolution": resolution}
+
+
+def _marked(records: DataFrame) -> DataFrame:
+    """(record_id, source, native_id, payload, error) of the sources of SCHEMAS, written once, since rows and errors are read from it."""
+    known = records.where(F.col("source").isin(*SCHEMAS)).withColumn("error", bad_payload(F.col("source"), F.col("payload")))
+    return stored(known.select("record_id", "source", "native_id", "payload", "error"), "marked")
 
 
 def normalised(records: DataFrame, identities: DataFrame, bots: DataFrame, missing: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -64,17 +73,25 @@ def normalised(records: DataFrame, identities: DataFrame, bots: DataFrame, missi
     others go on. Records of other sources than SCHEMAS are left out. bots has
     employee_id of service accounts.
     """
-    known = records.where(F.col("source").isin(*SCHEMAS)).withColumn("error", bad_payload(F.col("source"), F.col("payload")))
+    return _from_marked(_marked(records), identities, bots, missing)
+
+
+def _from_marked(known: DataFrame, identities: DataFrame, bots: DataFrame, missing: Column | None) -> tuple[DataFrame, DataFrame]:
     errors = known.where("error IS NOT NULL").select("record_id", "source", "native_id", "error")
     good = known.where("error IS NULL")
     of = lambda kind: good.where(F.col("source") == kind).select("record_id", "payload")
-    rows = (
-        ladders.github_rows(of("github"), missing).unionByName(ladders.incident_rows(of("incident"), missing)).unionByName(_ticket_rows(of("jira"), missing))
-    )
+    g, none = F.col("p"), F.lit(None).cast("string")
+    files = F.transform(F.coalesce(g["files"], g["_files"], g["_pr_files"]), lambda f: f["filename"])
+    facts = _facts(g["commit"]["message"], files, F.coalesce(F.size(g["parents"]), F.lit(0)), none)
+    parts = {
+        "github": ladders.github_rows(of("github"), missing, facts),
+        "incident": ladders.incident_rows(of("incident"), missing).withColumns(_facts(*_no_commit(), none)),
+        "jira": _ticket_rows(of("jira"), missing),
+    }
+    rows = reduce(DataFrame.unionByName, (df.withColumn("source", F.lit(source)) for source, df in parts.items()))
     first = Window.partitionBy(*KEY).orderBy("rung", "role", F.col("effort").desc_nulls_last())
     rows = rows.where("actor IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    facts = _facts(good)
-    rows = rows.join(facts, rows.record_id == facts["_id"]).drop("_id").withColumnRenamed("rung", "role_rung")
+    rows = rows.withColumnRenamed("rung", "role_rung")
     rows = normalize.resolve_identities(rows, identities).join(bots.select("employee_id", F.lit(True).alias("_bot")).distinct(), "employee_id", "left")
     rows = rows.withColumns({"actor_role": F.col("role"), "native_actor_id": F.col("actor"), "is_service_account": F.coalesce("_bot", F.lit(False))})
     return normalize.assess(rows).select(
@@ -99,7 +116,8 @@ def normalise_into(records: DataFrame, identities: DataFrame, bots: DataFrame, p
     are taken in the pass that writes.
     """
     spark = records.sparkSession
-    rows, errors = normalised(records, identities, bots, missing)
+    marked_records = _marked(records)
+    rows, errors = _from_marked(marked_records, identities, bots, missing)
     old = datasets.read(spark, f"{path}/items")
     if old is None:
         marked = rows.withColumn("_new", F.lit(True))
@@ -110,5 +128,5 @@ def normalise_into(records: DataFrame, identities: DataFrame, bots: DataFrame, p
     counted = dict(seen.get)
     datasets.replace(made if old is None else old.unionByName(made), f"{path}/items")
     counted["errors"] = datasets.replace(errors, f"{path}/errors")
-    forget(made)
+    forget(made, marked_records)
     return counted
