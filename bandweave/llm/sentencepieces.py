@@ -7,8 +7,8 @@ normaliser, the metaspace mark, byte fallback and the decoder are rebuilt.
 
 The rebuilt normaliser takes whole texts. No piece has the mark or a line end
 behind another character, so nothing merges across the place before such a run:
-normalised texts are cut there, and each distinct chunk is encoded once, in
-multithreaded batches, and compared with what the sentencepiece library gives for
+normalised texts are cut there, and each distinct chunk is encoded once, LEARNT
+at a time, and compared with what the sentencepiece library gives for
 it. A model of other pieces is encoded whole. Ids of documents are decoded by
 joining their pieces' bytes, which the tests hold against the rebuilt decoder and
 the sentencepiece library.
@@ -17,6 +17,7 @@ the sentencepiece library.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from .common import pieces, text_buffers
+from .common import CACHES, pieces, text_buffers, trim
 
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Bytes, about, that are remembered before the memo starts anew; of which one for each chunk; and the longest such chunk.
 MEMO_BYTES, ENTRY_BYTES, LONGEST = 110 << 20, 160, 1000
 BATCH_BYTES = 1 << 20
+#: Chunks that the libraries encode at once.
+LEARNT = 2048
 
 
 def _merges(found: list[tuple[str, float]]) -> list[tuple[str, str]]:
@@ -123,12 +126,15 @@ class Codec:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of chunks that are not remembered yet."""
-        ids = [e.ids for e in self._plain.encode_batch_fast(new, add_special_tokens=False)]
-        native = self._native_chunks(new)
-        if ids != native:
-            self._wrong.update(c for c, a, b in zip(new, ids, native, strict=True) if a != b)
-        code = self._code
-        return dict(zip(new, [array(code, i).tobytes() for i in ids], strict=True))
+        code, found = self._code, {}
+        for at in range(0, len(new), LEARNT):  # what the libraries give for a chunk takes far more than its ids
+            part = new[at : at + LEARNT]
+            ids = [e.ids for e in self._plain.encode_batch_fast(part, add_special_tokens=False)]
+            native = self._native_chunks(part)
+            if ids != native:
+                self._wrong.update(c for c, a, b in zip(part, ids, native, strict=True) if a != b)
+            found.update(zip(part, [array(code, i).tobytes() for i in ids], strict=True))
+        return found
 
     def _trim(self, new: dict[str, bytes]) -> None:
         """Keep what is remembered within bounds, after new has been added to it."""
@@ -173,6 +179,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+CACHES.append(codec.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of docs, then n_pieces, ids_crc32, round_trip, n_mismatched and piece_ids.
 
@@ -189,6 +198,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     held = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already, and each thread keeps memory of its own
         known = codec(path)
         for b in batches:
             whole = b.column(text).fill_null("")
@@ -206,6 +216,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
                 ]
                 part = b.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), *made], names=[*held, *names])
+        trim()
 
     kept = docs.select(*(F.col(f"`{c}`") for c in held))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

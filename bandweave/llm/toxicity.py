@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, cut_long, pieces, text_buffers, text_slices, with_text, word_hashes
+from .common import SLICE_BYTES, cut_long, let_go, pieces, text_buffers, text_slices, with_text, word_hashes
 
 BUCKETS = 1 << 18
 #: The classifier is fitted on a uniform sample of so many labelled documents at most, those of the smallest hashes of ids.
@@ -202,6 +202,7 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = Model(*shared.value)
         for b in (part for batch in batches for part in text_slices(batch)):
             data, offsets = text_buffers(b.column("text").fill_null(""))
