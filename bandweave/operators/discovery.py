@@ -14,34 +14,48 @@ SUMMARY_FOLDERS, SUMMARY_FIELDS = 12, 8
 
 
 def leaves(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(item_id, cluster) and (cluster, source, common) of items (item_id, source, signature) of similar signatures.
+    """(item_id, source, cluster) and (cluster, source, common) of items (item_id, source, signature) of similar signatures.
 
     A cluster's common tokens are those of all its members; where there are none,
-    those of its smallest member.
+    those of its smallest member. They are found over the different signatures.
     """
-    members = similarity.clusters(items, threshold)
-    known = members.join(items, "item_id")
-    first = known.groupBy("cluster").agg(F.min_by(F.struct("source", F.array_sort("signature").alias("own")), "item_id").alias("f"))
+    named = stored(similarity.signature_clusters(items, threshold), "signature-clusters")
+    signed = similarity.signed(items)
+    members = signed.select("item_id", "source", "sig_id").join(named.hint("shuffle_hash"), "sig_id").drop("sig_id")
+    own = F.min_by(F.array_sort("signature"), "item_id").alias("own")
+    kinds = signed.groupBy("source", "sig_id", _tokens().alias("signature")).agg(F.min("item_id").alias("item_id"), own)
+    known = stored(kinds.join(named.hint("shuffle_hash"), "sig_id").drop("sig_id"), "signatures")
+    first = known.groupBy("cluster").agg(F.min_by(F.struct("source", "own"), "item_id").alias("f"))
     found = first.join(similarity.common_signature(known), "cluster", "left")
     return members, found.select("cluster", "f.source", F.coalesce("common", "f.own").alias("common"))
 
 
+def _tokens() -> Column:
+    return F.array_sort(F.array_distinct("signature"))
+
+
+def _holding(items: DataFrame, found: DataFrame) -> DataFrame:
+    """(cluster, source, item_id) of wide_members(), found over the different signatures; items aren't sent to all tasks."""
+    wanted = found.select("cluster", "source", F.size("common").alias("n"), F.explode("common").alias("token"))
+    kinds = items.select("item_id", "source", _tokens().alias("tokens"))
+    held = kinds.select("source", "tokens").distinct().withColumn("token", F.explode("tokens"))
+    shared = wanted.join(held, ["source", "token"]).groupBy("cluster", "source", "tokens", "n").agg(F.count("*").alias("k"))
+    whole = shared.where("k = n").select("cluster", "source", "tokens")
+    return kinds.join(whole.hint("shuffle_hash"), ["source", "tokens"]).select("cluster", "source", "item_id")
+
+
 def wide_members(items: DataFrame, found: DataFrame) -> DataFrame:
     """(cluster, item_id): items of a leaf's source whose signature holds all its common tokens.
 
     Tokens are matched and counted, so only pairs that share one are ever formed.
     """
-    wanted = found.select("cluster", "source", F.size("common").alias("n"), F.explode("common").alias("token"))
-    held = items.select("item_id", "source", F.explode(F.array_distinct("signature")).alias("token"))
-    shared = wanted.join(held, ["source", "token"]).groupBy("cluster", "item_id", "n").agg(F.count("*").alias("k"))
-    return shared.where("k = n").select("cluster", "item_id")
+    return _holding(items, found).select("cluster", "item_id")
 
 
 def memberships(items: DataFrame, threshold: float) -> DataFrame:
     """(cluster, source, item_id) of leaves with their wide members."""
     members, found = leaves(items, threshold)
-    both = members.select("cluster", "item_id").unionByName(wide_members(items, found)).distinct()
-    return both.join(found.select("cluster", "source"), "cluster")
+    return members.select("cluster", "source", "item_id").unionByName(_holding(items, found)).distinct()
 
 
 def merge_sources(keys: DataFrame, code: str = "github") -> DataFrame:

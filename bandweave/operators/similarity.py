@@ -51,13 +51,15 @@ def similar_signatures(items: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def clusters(items: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, cluster): components of items of similar signatures, named by the smallest item."""
-    sigs = items.where(F.size("signature") > 0).withColumn(
-        "sig_id",
-        F.sha2(F.concat_ws("\x1f", "source", F.array_join(F.array_sort(F.array_distinct("signature")), "\x1f")), 256),
-    )
-    first = sigs.groupBy("sig_id").agg(F.min("item_id").alias("rep"))
+def signed(items: DataFrame) -> DataFrame:
+    """Items of a signature that isn't empty, with sig_id, which stands for the source and the distinct tokens."""
+    tokens = F.array_join(F.array_sort(F.array_distinct("signature")), "\x1f")
+    return items.where(F.size("signature") > 0).withColumn("sig_id", F.sha2(F.concat_ws("\x1f", "source", tokens), 256))
+
+
+def signature_clusters(items: DataFrame, threshold: float) -> DataFrame:
+    """(sig_id, cluster): components of similar signatures, named by the smallest item."""
+    first = signed(items).groupBy("sig_id").agg(F.min("item_id").alias("rep"))
     near = similar_signatures(items, threshold)
     edges = (
         near.select("a_id", "b_id")
@@ -66,8 +68,13 @@ def clusters(items: DataFrame, threshold: float) -> DataFrame:
         .select("a", "b")
     )
     found = graph.components(first.select(F.col("rep").alias("node")), edges)
-    named = first.join(found, first.rep == found.node).select("sig_id", F.col("component").alias("cluster"))
-    return sigs.join(named, "sig_id").select("item_id", "cluster")
+    return first.join(found, first.rep == found.node).select("sig_id", F.col("component").alias("cluster"))
+
+
+def clusters(items: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, cluster): components of items of similar signatures, named by the smallest item."""
+    named = signature_clusters(items, threshold).hint("shuffle_hash")  # items never go through the driver
+    return signed(items).select("item_id", "sig_id").join(named, "sig_id").select("item_id", "cluster")
 
 
 def common_signature(members: DataFrame) -> DataFrame:
