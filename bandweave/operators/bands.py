@@ -21,13 +21,19 @@ def _caps(caps: dict[str, Column]) -> Column:
     )
 
 
-def ceilings(edges: DataFrame, as_of: Column, p90: Column, p98: Column, p10: Column) -> DataFrame:
+def units(edges: DataFrame) -> DataFrame:
+    """(unit, _breadth, unit_at): how many capabilities a unit's edges name, and the time of its latest item."""
+    return edges.groupBy("unit").agg(F.countDistinct("capability").alias("_breadth"), F.max("occurred_at").alias("unit_at"))
+
+
+def ceilings(edges: DataFrame, as_of: Column, p90: Column, p98: Column, p10: Column, known_units: DataFrame | None = None) -> DataFrame:
     """Adds ceiling, binding_cap and unit_at to edges (source, role, occurred_at, unit, capability, certainty, effort).
 
     An edge is as old as its work unit, whose time is that of its latest item. A
     role that isn't listed has the lowest cap; no effort signal is no cap.
+    known_units: units() of the same edges, where they are made already.
     """
-    breadth = edges.groupBy("unit").agg(F.countDistinct("capability").alias("_breadth"), F.max("occurred_at").alias("unit_at"))
+    breadth = units(edges) if known_units is None else known_units
     known = role_ceilings(edges.sparkSession).select("source", "role", "role_cap")
     wide = F.when(F.col("_breadth") > p98, LOW).when(F.col("_breadth") > p90, MODERATE).otherwise(HIGH)
     found = _caps(
@@ -55,22 +61,19 @@ def assign(edges: DataFrame, as_of: Column) -> DataFrame:
     together is in the highest band. edges has item_id, person, capability, unit,
     role, unit_at, ceiling.
     """
-    unit = edges.groupBy("person", "capability", "unit").agg(
-        F.max(F.struct("ceiling", (-F.col("item_id")).alias("tie"))).alias("best")
-    )
-    best = unit.groupBy("person", "capability").agg(
-        F.max(F.struct("best.ceiling", "best.tie", "unit")).alias("top")
-    )
-    fresh = edges.where(
-        F.col("role").isin(*AUTHOR_ROLES) & (dates.months(F.col("unit_at"), as_of) <= FRESH_MONTHS)
+    first = F.max(F.struct("ceiling", (-F.col("item_id")).alias("tie"), "unit"))
+    fresh = F.col("role").isin(*AUTHOR_ROLES) & (dates.months(F.col("unit_at"), as_of) <= FRESH_MONTHS)
+    # the band beside the struct: where no unit is asked for, no struct is made
+    found = edges.groupBy("person", "capability").agg(
+        F.max("ceiling").alias("best"), first.alias("top"), F.countDistinct(F.when(fresh, F.col("unit"))).alias("mine")
     )
-    mine = fresh.groupBy("capability", "person").agg(F.countDistinct("unit").alias("mine"))
     others = F.sum("mine").over(Window.partitionBy("capability")) - F.col("mine")
-    dominant = mine.withColumn("others", others).where("mine > 1 AND mine > others").select("person", "capability", F.lit(True).alias("dominant"))
-    return best.join(dominant, ["person", "capability"], "left").select(
+    named = F.col("person").isNotNull() & F.col("capability").isNotNull()
+    dominant = (F.col("mine") > 1) & (F.col("mine") > F.col("others")) & named
+    return found.withColumn("others", others).select(
         "person", "capability",
-        F.when(F.col("dominant"), HIGH).otherwise(F.col("top.ceiling")).alias("band_code"),
-        F.col("top.unit").alias("unit"), F.coalesce("dominant", F.lit(False)).alias("dominant"),
+        F.when(dominant, HIGH).otherwise(F.col("best")).alias("band_code"),
+        F.col("top.unit").alias("unit"), dominant.alias("dominant"),
     )
 
 
@@ -131,15 +134,19 @@ def activity(edges: DataFrame, as_of: Column, thin: int) -> DataFrame:
     )
 
 
+def thresholds(edges: DataFrame, known_units: DataFrame) -> DataFrame:
+    """One row: nearest ranks of effort and of the breadths of units() of the edges."""
+    effort = similarity.nearest_ranks(edges.where("effort > 0"), (), "effort", p10_effort=0.10)
+    breadth = similarity.nearest_ranks(known_units, (), "_breadth", p90_breadth=0.90, p98_breadth=0.98)
+    return effort.crossJoin(F.broadcast(breadth))  # of one row each
+
+
 def calibration(edges: DataFrame) -> DataFrame:
     """One row: the latest day, and nearest ranks of effort, of capabilities a unit and of units a capability."""
-    effort = similarity.nearest_ranks(edges.where("effort > 0"), (), "effort", p10_effort=0.10)
-    wide = edges.groupBy("unit").agg(F.countDistinct("capability").alias("n"))
-    breadth = similarity.nearest_ranks(wide, (), "n", p90_breadth=0.90, p98_breadth=0.98)
     deep = edges.groupBy("capability").agg(F.countDistinct("unit").alias("n"))
     density = similarity.nearest_ranks(deep, (), "n", p25_units=0.25)
     last = edges.agg(F.max("occurred_at").alias("as_of"))
-    for row in (effort, breadth, density):  # of one row each
+    for row in (thresholds(edges, units(edges)), density):  # of one row each
         last = last.crossJoin(F.broadcast(row))
     return last
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bands, reporting, teams
+from ..storage import stored
 from .bindings import DEPENDENCIES, EDGES, LINE_DAY, day, dependencies, edges, edges_sql
 from .ordinal import _bands
 from .registry import plan, read
@@ -30,8 +31,9 @@ def agg15(spark, d):
 def qry16(spark, d):
     """Bands under thresholds that come from the data: calibrate, then cap."""
     rows = edges(spark, d)
-    known = bands.calibration(rows).first()  # five numbers
-    capped = bands.ceilings(rows, day(LINE_DAY), F.lit(known.p90_breadth), F.lit(known.p98_breadth), F.lit(known.p10_effort))
+    units = stored(bands.units(rows), "units")
+    known = bands.thresholds(rows, units).first()  # three numbers
+    capped = bands.ceilings(rows, day(LINE_DAY), F.lit(known.p90_breadth), F.lit(known.p98_breadth), F.lit(known.p10_effort), units)
     return bands.assign(capped, day(LINE_DAY)).groupBy("capability", "band_code").agg(F.count("*").alias("n"))
 
 
