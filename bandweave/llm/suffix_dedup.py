@@ -310,12 +310,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PART_BYTES) + 1)
     dealt = docs.mapInArrow(_emit(parts), "part bigint, docs binary, grams binary, around binary, pos binary")
-    decided = written(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_classes, _SPANS), "spans")
+    decided = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_classes, _SPANS)
+    decided = written(decided, "spans", tidy=True)
     places = decided.where("end = 0").groupBy("doc_id").agg(
         F.collect_list("start").alias("places"), F.collect_list("gram").alias("grams")
     )
     segments = docs.join(places, "doc_id").mapInArrow(_segments, "gram bigint, doc_id bigint, start bigint, segment binary")
     merged = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(_bucket, _SPANS)
+    merged = written(merged, "spans", tidy=True)  # the texts that segments are cut from and those that spans are cut from don't lie side by side
     return decided.where("end > 0").unionByName(merged).select("doc_id", "start", "end")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators import BASE, slow_removed, slow_spans
@@ -38,3 +40,18 @@ def test_repeats_in_small_tables(spark, rows):
     unknown = [(i, *w[1:]) for i, t in rows if i is None for w in slow_removed([(0, t.encode())])]
     assert got == sorted(known + unknown, key=str)
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
+
+
+def shuffled_bytes(spark) -> int:
+    """Bytes of shuffle files below the folders where this session's block manager keeps them."""
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return sum(os.path.getsize(f"{d}/{x}") for top in dirs for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_"))
+
+
+def test_repeats_leave_no_shuffle_files_of_texts_behind(spark):
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat(repeat(sha2(string(id), 256), 40), repeat(sha2(string(id % 40), 256), 3), repeat(sha2(string(id % 90), 512), 2)) AS text")
+    rows.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.local.dir', '/tmp')}/bandweave-test-repeats-{os.getpid()}")
+    docs, before = spark.read.parquet(path), shuffled_bytes(spark)
+    spans = suffix_dedup.repeated_spans(docs)
+    assert spans.where("end > start").count() > 0
+    assert shuffled_bytes(spark) - before < 20_000  # the anchors and segments of these 1.1 MB are hundreds of kB
