@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, cut_long, let_go, pieces, text_buffers, text_slices, with_text, word_hashes
+from .common import SLICE_BYTES, cut_long, let_go, pieces, text_buffers, text_slices, trim, with_text, word_hashes
 
 BUCKETS = 1 << 18
 #: The classifier is fitted on a uniform sample of so many labelled documents at most, those of the smallest hashes of ids.
@@ -129,9 +129,11 @@ def fit(labelled: DataFrame, label: str = "toxic") -> Model:
     model = Model(np.zeros(BUCKETS, np.float32), -7.0, float(np.clip(y.mean() if len(y) else 0.01, 1e-3, 0.2)))
     if not len(y) or y.min() == y.max():
         return model
-    words = [np.frombuffer(w, "<i4").astype(np.int64) for w in rows["words"]]
+    words = [np.frombuffer(w, "<i4") for w in rows["words"]]
     starts = [np.frombuffer(s, "<i4").astype(np.int64) for s in rows["starts"]]
     _descend(model, words, starts, y, _telling(words, y))
+    del rows, words, starts
+    trim()  # the driver's Python would keep what the sample took
     return model
 
 
@@ -150,7 +152,7 @@ def _telling(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def _descend(model: Model, words: list, starts: list, y: np.ndarray, known: np.ndarray) -> None:
     """Mini-batch Adam on the documents' log-likelihood, over the known buckets."""
-    place = np.full(BUCKETS, len(known), np.int64)  # the last place takes all other words and keeps weight zero
+    place = np.full(BUCKETS, len(known), np.int32)  # the last place takes all other words and keeps weight zero
     place[known] = np.arange(len(known))
     words = [place[w] for w in words]
     size = len(known) + 3

@@ -7,6 +7,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from bandweave.llm import jaccard
 from bandweave.llm.common import table
@@ -112,3 +113,23 @@ def test_no_pair_within_the_radius_is_lost_in_a_crowd(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = jaccard.similar_groups(docs, corpus_pipeline.SHINGLE, corpus_pipeline.RADIUS, 0.8).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, find(i)) for i in range(len(texts))]
+
+
+def similar_blocks(texts, component):
+    """What _joined hands on of texts that stand in one block."""
+    sets = [jaccard.shingle_set(t, 5) for t in texts]
+    fps, n = np.array([jaccard.minwise(s) for s in sets]).view(np.int64), len(texts)
+    columns = {"key": range(n), "component": component, "shingles": [s.tobytes() for s in sets]}
+    columns |= {f"fp{k}": fps[:, k] for k in range(jaccard.TABLES)}
+    columns |= {c: np.zeros(n, np.int64) for c in ("own", "block", "own_a", "block_a", "own_b", "block_b")}
+    found = jaccard._joined(corpus_pipeline.RADIUS, 0.8)(pa.table({k: pa.array(v) for k, v in columns.items()}))
+    return list(zip(*(found.column(c).to_pylist() for c in "ab"), strict=True))
+
+
+def test_rows_of_a_crowd_grow_with_its_texts_and_not_its_pairs():
+    for n in (100, 400):
+        texts = crowd(n)
+        found = similar_blocks(texts, range(n))
+        assert 0 < len(found) < n  # 259,290 pairs of 900 such texts left a task before
+        again = similar_blocks(texts, [0] * n)
+        assert again == []
